@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that are neither word nor part of one, for the operators that split on white space.
@@ -40,3 +40,21 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two near the square root: as many buckets in a group as rows in a bucket."""
+    return 1 << max(4, (max(rows, 1).bit_length() + 1) // 2)
+
+
+def running(df: DataFrame, group: str, bucket: str, order: list, value, out: str) -> DataFrame:
+    """df with out: the sum of value over the rows before, in its group, by bucket and order.
+
+    Bucket must agree with order. Windows never hold more than one bucket or one row a bucket, so that a
+    group with most of the rows is spread over as many tasks as it has buckets.
+    """
+    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("_in_bucket"))
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(group, bucket, F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(starts, [group, bucket]).withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_start")

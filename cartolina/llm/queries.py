@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartolina.llm import common
 from cartolina.llm.exact_dedup import exact_dedup
+from cartolina.llm.mixing import mix
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_source_mix": op5_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
