@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartolina.llm import common
 from cartolina.llm.exact_dedup import exact_dedup
+from cartolina.llm.license_scan import license_scan
 from cartolina.llm.mixing import mix
 
 
@@ -15,12 +16,17 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(common.documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
+    "op8_license_scan": op8_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
