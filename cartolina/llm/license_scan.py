@@ -36,7 +36,6 @@ SLACK = 8
 COVER = 0.5
 STRETCH = 1.5
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RUN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _lowered(text: Column) -> Column:
@@ -44,6 +43,10 @@ def _lowered(text: Column) -> Column:
     return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("ı")), F.lit("K"), F.lit("å")))
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(_lowered(text), GAP), "")
+
+
 def _gram(parts: list[Column]) -> Column:
     """Two independent hashes, so that a hit means equal words for all purposes."""
     return F.struct(F.xxhash64(*parts).alias("h"), F.hash(*parts).alias("g"))
@@ -56,13 +59,12 @@ def _rolling(words: Column, k: int) -> Column:
 
 def _grams(text: Column) -> Column:
     """All rolling hashes with their places; the split is done once, as a lambda's variable holds its words."""
-    words = F.array_remove(F.split(_lowered(text), GAP), "")
-    return F.transform(F.array(words), lambda w: F.concat(_rolling(w, PHRASE_K), _rolling(w, K)))[0]
+    return F.transform(F.array(_words(text)), lambda w: F.concat(_rolling(w, PHRASE_K), _rolling(w, K)))[0]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _known(spark, templates: dict[str, str], phrases: dict[str, str]) -> DataFrame:
@@ -80,24 +82,26 @@ def _known(spark, templates: dict[str, str], phrases: dict[str, str]) -> DataFra
 
 def _votes(docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str], phrases: dict[str, str]) -> DataFrame:
     """Hits by text, notice and diagonal: how far they reach, and which of the notice's places they hit."""
-    rolling = _keyed(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(_grams(F.col("text"))))
+    rolling = _keyed(docs, id_col, text_col).select("doc_id", "text_hash", F.inline(_grams(F.col("text"))))
     hits = rolling.join(F.broadcast(_known(docs.sparkSession, templates, phrases)), "gram")
     by = ["doc_id", "text_hash", "label", "k", "grams", (F.col("pos") - F.col("t_pos")).alias("diagonal")]
     return hits.groupBy(*by).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("t_pos").alias("at"))
 
 
 def _spans(votes: DataFrame, slack: int, cover: float) -> DataFrame:
-    along = Window.partitionBy("doc_id", "text_hash", "label").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > slack).cast("int"), F.lit(0))
-    runs = votes.where(F.col("k") == K).withColumn("apart", apart).withColumn("run", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "text_hash", "label", "grams", "run").agg(F.min("lo").cast("long").alias("first_word"), (F.max("hi") + K - 1).cast("long").alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"))
+    """Merged and verified; a phrase's diagonals don't merge, and each must have all its votes."""
+    phrase = F.col("k") == PHRASE_K
+    along = Window.partitionBy("doc_id", "text_hash", "label", "k").orderBy("diagonal")
+    apart = F.coalesce((phrase | (F.col("diagonal") - F.lag("diagonal").over(along) > slack)).cast("int"), F.lit(0))
+    runs = votes.withColumn("apart", apart).withColumn("run", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc_id", "text_hash", "label", "k", "grams", "run").agg(F.min("lo").cast("long").alias("first_word"), (F.max("hi") + F.first("k") - 1).cast("long").alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"))
     spans = spans.withColumn("cover", F.col("votes") / F.col("grams"))
     fits = (F.col("cover") >= cover) & (F.col("last_word") - F.col("first_word") + 1 <= STRETCH * (F.col("grams") + K - 1) + slack)
-    return spans.where(fits).select("doc_id", "text_hash", "label", "first_word", "last_word", "votes", "cover")
+    return spans.where(F.when(phrase, F.col("votes") == F.col("grams")).otherwise(fits)).select("doc_id", "text_hash", "label", phrase.alias("phrase"), "first_word", "last_word", "votes", "cover")
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, slack: int = SLACK, cover: float = COVER) -> DataFrame:
-    """Verified spans: doc_id, text_hash, label, first_word, last_word, votes, cover (share of the template's k-grams).
+    """Verified spans: doc_id, text_hash, label, phrase (a phrase's place, not a template's), first_word, last_word, votes, cover (share of the template's k-grams).
 
     Rows that repeat an id and its text count once.
     """
@@ -112,14 +116,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashes vote for one diagonal, which is its start. The score is the best span's cover, and at least a half where a phrase stands.
     Repeated rows each get the same result; an empty table gives no rows; other columns are ignored.
     """
-    votes = _votes(docs, id_col, text_col, templates, phrases)
-    nothing = F.lit(None)
-    places = votes.where((F.col("k") == PHRASE_K) & (F.size("at") == F.col("grams"))).select("doc_id", "text_hash", F.col("diagonal").cast("long").alias("start"), F.col("label").alias("base"), "label", F.lit(0.5).alias("cover"))
-    spans = _spans(votes, SLACK, COVER).select("doc_id", "text_hash", nothing.cast("long").alias("start"), nothing.cast("string").alias("base"), "label", "cover")
-    found = places.unionByName(spans).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.count("start").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.array_sort(F.collect_set("base")).alias("base"), F.array_sort(F.collect_set("label")).alias("all"), F.max("cover").alias("score")
+    spans = _spans(_votes(docs, id_col, text_col, templates, phrases), SLACK, COVER)
+    start, base = F.when(F.col("phrase"), F.col("first_word")), F.when(F.col("phrase"), F.col("label"))
+    found = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.count(start).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"), F.array_sort(F.collect_set(base)).alias("base"), F.array_sort(F.collect_set("label")).alias("all"), F.max(F.when(F.col("phrase"), 0.5).otherwise(F.col("cover"))).alias("score")
     )
-    told = _keyed(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_count("text", F.lit(RUN)).cast("long").alias("n_words"))
+    told = _keyed(docs, id_col, text_col).select("doc_id", "text_hash", F.size(_words(F.col("text"))).cast("long").alias("n_words"))
     both = told.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     return both.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", joined("base").alias("base_labels"), joined("all").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
