@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartolina.llm import common
+from cartolina.llm import bpe, common, language_id
 from cartolina.llm.exact_dedup import exact_dedup
 from cartolina.llm.license_scan import license_scan
 from cartolina.llm.mixing import mix
@@ -16,6 +17,29 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _apart(parts: int, which: int):
+    """Whether a document is held out: crc32 of its id as text, mod parts, is which."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == which, F.lit(False))
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary file lies; imported here, as only this operator's query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(common.documents(spark, sf_dir), vocabulary())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    models = language_id.train(docs, ~_apart(4, 2))
+    return language_id.identify(docs, models).withColumn("held_out", _apart(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(common.documents(spark, sf_dir))
 
@@ -26,7 +50,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
+    "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
