@@ -7,21 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolina.llm import bpe, common, language_id
+from cartolina.llm import bpe, common, language_id, toxicity
 from cartolina.llm.exact_dedup import exact_dedup
 from cartolina.llm.license_scan import license_scan
 from cartolina.llm.mixing import mix
 
 
-def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken")
-
-
 def _apart(parts: int, which: int):
     """Whether a document is held out: crc32 of its id as text, mod parts, is which."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == which, F.lit(False))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_apart(5, 0))
+    told = toxicity.classify(docs, model).withColumn("held_out", _apart(5, 0))
+    return told.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "language")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken")
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary file lies; imported here, as only this operator's query needs it."""
     import public_tokenizers
@@ -49,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_source_mix": op5_source_mix,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
