@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolina.llm import bpe, common, language_id, toxicity
+from cartolina.llm import bpe, common, language_id, pii, toxicity
 from cartolina.llm.exact_dedup import exact_dedup
 from cartolina.llm.license_scan import license_scan
 from cartolina.llm.mixing import mix
@@ -25,6 +25,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "language")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = pii.find_pii(common.documents(spark, sf_dir))
+    base = F.filter("spans", lambda x: x["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+    counts = [_of_kind(base, kind).alias(f"n_{kind}") for kind in pii.BASE]
+    return told.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _of_kind(spans, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,6 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_pii": op4_pii,
     "op5_source_mix": op5_source_mix,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
