@@ -11,6 +11,7 @@ from cartolina.llm import bpe, common, language_id, pii, toxicity
 from cartolina.llm.exact_dedup import exact_dedup
 from cartolina.llm.license_scan import license_scan
 from cartolina.llm.mixing import mix
+from cartolina.llm.topk import top_k
 
 
 def _apart(parts: int, which: int):
@@ -41,6 +42,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary file lies; imported here, as only this operator's query needs it."""
     import public_tokenizers
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_pii": op4_pii,
     "op5_source_mix": op5_source_mix,
+    "op6_top_k": op6_top_k,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
@@ -80,6 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS parts
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.parts, c.parts), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOW} AS low FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
