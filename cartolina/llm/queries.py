@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolina.llm import bpe, common, language_id, pii, toxicity
 from cartolina.llm.exact_dedup import exact_dedup
+from cartolina.llm.jaccard import jaccard_components
 from cartolina.llm.license_scan import license_scan
 from cartolina.llm.mixing import mix
 from cartolina.llm.topk import top_k
@@ -26,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "language")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(common.documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = pii.find_pii(common.documents(spark, sf_dir))
     base = F.filter("spans", lambda x: x["base"])
@@ -74,6 +79,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_pii": op4_pii,
     "op5_source_mix": op5_source_mix,
     "op6_top_k": op6_top_k,
