@@ -49,15 +49,20 @@ class Merges:
                 self.rank.setdefault((vocab[a], vocab[b]), (r, vocab[a + b]))
         self._splits: dict[int, tuple[int, int, int] | None] = {}
         self._meets: dict[int, bool] = {}
+        self._spines: dict[tuple[int, int], list] = {}
         self.inner, self.final = ({t: i for t, i in kind.items() if (self.split(i) or (0,))[0] >= 0} for kind in (self.inner, self.final))
         self.lengths = self._lengths(self.inner), self._lengths(self.final)
 
     @staticmethod
     def _lengths(kind: dict[str, int]) -> dict[str, tuple[int, ...]]:
-        """By the last two letters, how long the tokens are that end with them, longest first."""
+        """By their last three letters (or two, or one, where no longer token has these), how long the tokens are, longest first."""
         found: dict[str, set[int]] = {}
         for t in kind:
-            found.setdefault(t[-2:], {1}).add(len(t))
+            for n in (1, 2, 3):
+                if len(t) >= n:
+                    found.setdefault(t[-n:], {1}).add(min(len(t), len(t) if n == 3 else n))
+        for end in [e for e in found if len(e) == 3]:
+            found[end] |= found.get(end[1:], {1})
         return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
 
     def plain(self, parts: list[int]) -> list[tuple[int, int, int, int]]:
@@ -84,15 +89,19 @@ class Merges:
             self._splits[token] = None if len(symbols) == 1 else made[-1][:3] if made and made[-1][3] == token else (-1, -1, -1)
         return self._splits[token]
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The tokens along one edge as merging goes back in time, each with the rank of the merge that ends it."""
-        out, ends = [], _FOREVER
-        while True:
-            out.append((token, ends))
-            made = self.split(token)
-            if made is None:
-                return out
-            ends, token = made[0], made[side]
+    def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """The tokens along one edge as merging goes back in time, each with the ranks of the merges that end and make it."""
+        key = (token, side)
+        if key not in self._spines:
+            out, ends = [], _FOREVER
+            while True:
+                made = self.split(token)
+                out.append((token, ends, -1 if made is None else made[0]))
+                if made is None:
+                    break
+                ends, token = made[0], made[side]
+            self._spines[key] = out
+        return self._spines[key]
 
     def meets(self, left: int, right: int) -> bool:
         """Whether the border between the two tokens stays when their letters are merged together."""
@@ -102,14 +111,12 @@ class Merges:
         return known
 
     def _stays(self, left: int, right: int) -> bool:
-        for a, a_ends in self._spine(left, 2):
-            for b, b_ends in self._spine(right, 1):
+        for a, a_ends, a_born in self._spine(left, 2):
+            for b, b_ends, b_born in self._spine(right, 1):
                 merge = self.rank.get((a, b))
                 # Of equal merges the leftmost is made first: one within the left token precedes one across the border.
-                if merge and merge[0] < a_ends and merge[0] <= b_ends:
-                    born = max((self.split(t) or (-1,))[0] for t in (a, b))
-                    if born < merge[0]:
-                        return False
+                if merge and max(a_born, b_born) < merge[0] < a_ends and merge[0] <= b_ends:
+                    return False
         return True
 
     def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
@@ -128,7 +135,8 @@ class Merges:
             path = word
             for i in range(shared + 1, n + 1):
                 kind, lengths = (inner, inner_lengths) if i < n else (final, final_lengths)
-                for k in lengths.get(word[i - 2 if i > 1 else 0 : i], (1,)):
+                near = lengths.get(word[i - 3 : i]) if i > 2 else None
+                for k in near or lengths.get(word[i - 2 : i] if i > 1 else word[:1], (1,)):
                     j = i - k
                     if j < 0:
                         continue
@@ -158,7 +166,7 @@ class Codec:
 
     LONGEST = 64
 
-    def __init__(self, data: bytes, limit: int = 120_000):
+    def __init__(self, data: bytes, limit: int = 250_000):
         told = json.loads(data)
         model = told["model"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -170,9 +178,8 @@ class Codec:
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.bytes = _byte_letters()
         self.limit = limit
-        self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
-        self.old: tuple[dict, dict] = ({}, {})
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
 
     def _words(self, token: str) -> list[str]:
@@ -193,11 +200,7 @@ class Codec:
             self.words = {}
         self.words |= ids
         for t, words in cut.items():
-            if len(words) == 1:
-                self.ids[t], self.texts[t] = ids[words[0]]
-            else:
-                self.ids[t] = b"".join([ids[w][0] for w in words])
-                self.texts[t] = " ".join([ids[w][1] for w in words])
+            self.known[t] = ids[words[0]] if len(words) == 1 else (b"".join([ids[w][0] for w in words]), " ".join([ids[w][1] for w in words]))
 
     def _split(self, text: str) -> list[str]:
         """Tokens between white space. Where a special token stands, or a separator that only Python counts as white space, the cut is finer."""
@@ -215,21 +218,24 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids, as little-endian 32-bit integers, and the text decoded from them."""
         cut = [self._split(t) for t in texts]
-        if len(self.ids) > self.limit:
-            self.old = (self.ids, self.texts)
-            self.ids, self.texts = {}, {}
-        new = {t for tokens in cut for t in tokens}.difference(self.ids)
-        for t in [t for t in new if t in self.old[0]]:
-            self.ids[t], self.texts[t] = self.old[0][t], self.old[1][t]
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = {t for tokens in cut for t in tokens}.difference(known)
+        for t in [t for t in new if t in old]:
+            known[t] = old[t]
             new.discard(t)
         for t in new.intersection(self.special):
-            self.ids[t], self.texts[t] = struct.pack("<I", self.special[t]), t
+            known[t] = (struct.pack("<I", self.special[t]), t)
             new.discard(t)
         self._learn(new)
-        out = [(b"".join(map(self.ids.__getitem__, tokens)), " ".join(map(self.texts.__getitem__, tokens))) for tokens in cut]
+        out = []
+        for tokens in cut:
+            got = list(map(known.__getitem__, tokens))
+            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
         for t in new:
             if len(t) > self.LONGEST:
-                del self.ids[t], self.texts[t]
+                del known[t]
                 for w in self._words(t):
                     self.words.pop(w, None)
         return out
