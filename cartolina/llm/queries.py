@@ -12,6 +12,7 @@ from cartolina.llm.exact_dedup import exact_dedup
 from cartolina.llm.jaccard import jaccard_components
 from cartolina.llm.license_scan import license_scan
 from cartolina.llm.mixing import mix
+from cartolina.llm.suffix_dedup import suffix_dedup
 from cartolina.llm.topk import top_k
 
 
@@ -31,6 +32,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = suffix_dedup(common.documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return told.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = pii.find_pii(common.documents(spark, sf_dir))
     base = F.filter("spans", lambda x: x["base"])
@@ -80,6 +87,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pii": op4_pii,
     "op5_source_mix": op5_source_mix,
     "op6_top_k": op6_top_k,
