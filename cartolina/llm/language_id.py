@@ -215,3 +215,26 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, _OUT)
+
+
+def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are not rejected; no shuffle."""
+    token = uuid.uuid4().hex
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        table = kept(token, m.scores)
+        for b in batches:
+            mask: list[bool] = []
+            for _, texts in chunks(pa.record_batch([pa.nulls(b.num_rows, pa.int64()), b.column(at).cast(pa.string())], names=["doc_id", "text"])):
+                if m.languages:
+                    h, n = m.entropies(table, texts)
+                    best = h.argmin(axis=1)
+                    mask += ((n > 0) & (h[np.arange(len(texts)), best] <= m.thresholds[best])).tolist()
+                else:
+                    mask += [False] * len(texts)
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

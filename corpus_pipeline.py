@@ -1,8 +1,65 @@
-"""The corpus pipeline; its stages are added as their operators are finished."""
+"""The corpus pipeline: language ID, exact dedup, near-duplicate dedup, source mixing, BPE.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; run() writes each stage's rows as Parquet
+to shared storage and reads them again. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartolina.llm import bpe, common, language_id
+from cartolina.llm.exact_dedup import exact_dedup
+from cartolina.llm.jaccard import jaccard_components
+from cartolina.llm.mixing import mix
+from cartolina.llm.queries import vocabulary
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or unlike every language that lang names, go."""
+    models = language_id.train(docs, F.lit(True))
+    return language_id.accepted(docs, models)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, up to the case of A-Z, the row with the largest id stays."""
+    return docs.join(exact_dedup(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of texts with similar five-word shingles (at least 0.8) the smallest id stays."""
+    told = jaccard_components(docs, k=5, percent=80)
+    return docs.join(told.where("component_id = doc_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to the nearest whole time: not at all, once or twice."""
+    told = mix(docs).documents().where("size > 0 and doc_id is not null")
+    times = told.groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0")
+    again = F.explode(F.sequence(F.lit(1), F.col("_times")))
+    return docs.join(times, "doc_id").withColumn("_again", again).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian 32-bit integers) and the text decoded from them."""
+    return bpe.encode(docs, vocabulary())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("bpe", encode),
+]
+
+#: Trained models, components and merges are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
