@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def _index_batch(ids: list, bodies: list) -> pa.RecordBatch:
         at = first.setdefault(digest, i)
         key.append(xxhash.xxh3_64_intdigest(low) - (1 << 63))
         sha.append(digest)
-        body.append(low if at == i else None)
+        body.append(zstandard.compress(low, 1) if at == i else None)
         n[at] += 1
         if ids[i] is not None and (top[at] is None or ids[i] > top[at]):
             top[at] = ids[i]
@@ -68,6 +69,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(out) >= 4096:
                     yield batch(out)
                     out = []
+            body = zstandard.decompress(body)
             for link in chain:
                 if link[0] == body:
                     link[3] += n
