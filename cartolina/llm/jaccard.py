@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +45,31 @@ class Hasher:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(hasher: Hasher, raw: bytes, k: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's k-word shingles; A-Z count as a-z."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hasher.words(words)
-    k = min(k, len(words))
-    out = np.full(len(h) - k + 1, k, np.uint64)
+def shingled(hasher: Hasher, raws: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's k-word shingles; A-Z count as a-z."""
+    split = [raw.lower().split() for raw in raws]
+    counts = [len(w) for w in split]
+    h = hasher.words([w for words in split for w in words])
+    full = np.full(max(0, len(h) - k + 1), k, np.uint64)
     for j in range(k):
-        out = (out ^ h[j : len(h) - k + 1 + j]) * _A
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+        full = _mix(full, h[j : len(h) - k + 1 + j])
+    out, at = [], 0
+    for n in counts:
+        if n >= k:
+            own = np.sort(full[at : at + n - k + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            short = np.full(min(n, 1), n, np.uint64)
+            for j in range(n):
+                short = _mix(short, h[at + j : at + j + 1])
+            out.append(short)
+        at += n
+    return out
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a = (a ^ b) * _A
+    return a ^ (a >> np.uint64(29))
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -71,91 +85,104 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+def _chunks(batches: Iterator[pa.RecordBatch], hasher: Hasher, k: int, size: int = 1 << 20) -> Iterator[tuple[list, list[np.ndarray], bool]]:
+    """Ids and shingles by chunk of about so many bytes; the last of a batch is told."""
     for b in batches:
+        ids, raws, held = [], [], 0
         for i, t in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):
-            yield i.as_py(), t.as_py() or b""
+            ids.append(i.as_py())
+            raws.append(t.as_py() or b"")
+            held += len(raws[-1])
+            if held >= size:
+                yield ids, shingled(hasher, raws, k), False
+                ids, raws, held = [], [], 0
+        yield ids, shingled(hasher, raws, k), True
 
 
-def _sized(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in batches:
-            ids, sizes, marks, handles = [], [], [], []
-            for i, raw in _texts([b]):
-                s = shingles(hasher, raw, k)
-                ids.append(i)
-                sizes.append(len(s))
-                marks.append(_digest(s) if len(s) else None)
-                handles.append(int.from_bytes(marks[-1][:8], "little", signed=True) if len(s) else None)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(handles, pa.int64())], names=["doc_id", "n_shingles", "mark", "handle"])
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
 
-    return run
 
+_SIZED = "doc_id long, n_shingles long, mark binary, handle long, shard int, cells binary"
 
-def _counted(k: int):
-    """A task's sketch of how many texts have each token, copies within a batch once, cut into shards."""
+
+def _sized(k: int):
+    """Each text's set size and digest; and, once a task, a sketch of how many texts have each token, copies within a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, cells = Hasher(), np.zeros(CELLS, np.int64)
-        for b in batches:
-            seen = set()
-            for _, raw in _texts([b]):
-                s = shingles(hasher, raw, k)
-                mark = _digest(s)
-                if mark not in seen:
+        hasher, cells, seen = Hasher(), np.zeros(CELLS, np.int32), set()
+        for ids, sets, last in _chunks(batches, hasher, k):
+            marks = [_digest(s) if len(s) else None for s in sets]
+            new = []
+            for s, mark in zip(sets, marks, strict=True):
+                if mark is not None and mark not in seen:
                     seen.add(mark)
-                    np.add.at(cells, (s % np.uint64(CELLS)).astype(np.int64), 1)
-        parts = cells.reshape(SKETCH_SHARDS, -1)
-        yield pa.record_batch([pa.array(range(SKETCH_SHARDS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["shard", "cells"])
+                    new.append(s)
+            if new:
+                np.add.at(cells, _cell(np.concatenate(new)), 1)
+            if last:
+                seen.clear()
+            none = [None] * len(ids)
+            handles = [int.from_bytes(m[:8], "little", signed=True) if m else None for m in marks]
+            yield _row(ids, [len(s) for s in sets], marks, handles, none, none)
+        none = [None] * SKETCH_SHARDS
+        yield _row(none, none, none, none, list(range(SKETCH_SHARDS)), [zstandard.compress(p.tobytes(), 1) for p in cells.reshape(SKETCH_SHARDS, -1)])
 
     return run
 
 
+def _row(*columns: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+    return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["doc_id", "n_shingles", "mark", "handle", "shard", "cells"])
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for shard, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(cells, np.int64)
+            got = np.frombuffer(zstandard.decompress(cells), np.int32).astype(np.int64)
             total[shard] = total[shard] + got if shard in total else got
     yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["shard", "cells"])
 
 
-def _sketch(texts: DataFrame, k: int) -> np.ndarray:
+def _classes(sized: DataFrame) -> np.ndarray:
     """By cell of a token's hash, the power of two of its count: CELLS bytes, whatever the input."""
-    shards = texts.mapInArrow(_counted(k), "shard int, cells binary").repartitionById(SKETCH_SHARDS, F.col("shard")).mapInArrow(_added, "shard int, cells binary").collect()
+    shards = sized.where("shard is not null").select("shard", "cells").repartitionById(SKETCH_SHARDS, F.col("shard")).mapInArrow(_added, "shard int, cells binary").collect()
     cells = np.zeros((SKETCH_SHARDS, CELLS // SKETCH_SHARDS), np.int64)
     for r in shards:
         cells[r["shard"]] += np.frombuffer(r["cells"], np.int64)
     flat = cells.ravel()
     usual = max(1.0, float(flat.mean()))
-    return np.ceil(np.log2(np.maximum(flat / (2 * usual), 1))).astype(np.uint8)  # all cells up to twice the mean are alike
+    return np.ceil(np.log2(np.maximum(flat / (2 * usual), 1))).astype(np.uint64)  # all cells up to twice the mean are alike
 
 
-def _ordered(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return tokens[np.lexsort((tokens, classes[(tokens % np.uint64(CELLS)).astype(np.int64)]))]
+def _first(tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """A set's first tokens in the order of class, then hash."""
+    key = (classes[_cell(tokens)] << np.uint64(58)) | (tokens >> np.uint64(6))
+    return tokens[np.argsort(key, kind="stable")[: prefix_size(len(tokens), percent)]]
 
 
 _POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("handle", "<u8"), ("n", "<u4")])
 
 
 def _postings(k: int, percent: int, parts: int, held):
-    """For each batch and part, packed: token, group, handle (from the set's digest) and size, for the first tokens of each distinct set."""
+    """For each chunk and part, packed: token, group, handle (from the set's digest) and size, for the first tokens of each distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, classes = Hasher(), held.value
-        for b in batches:
-            seen, rows = set(), []
-            for _, raw in _texts([b]):
-                s = shingles(hasher, raw, k)
+        hasher, classes, seen = Hasher(), held.value, set()
+        for _, sets, last in _chunks(batches, hasher, k):
+            rows = []
+            for s in sets:
                 mark = _digest(s)
                 if not len(s) or mark in seen:
                     continue
                 seen.add(mark)
-                first = _ordered(s, classes)[: prefix_size(len(s), percent)]
+                first = _first(s, classes, percent)
                 p = np.empty(len(first), _POSTING)
                 p["token"], p["group"], p["handle"], p["n"] = first, first[0], np.frombuffer(mark[:8], "<u8")[0], len(s)
                 rows.append(p)
+            if last:
+                seen.clear()
             if not rows:
                 continue
             every = np.concatenate(rows)
@@ -169,45 +196,74 @@ def _postings(k: int, percent: int, parts: int, held):
     return run
 
 
+#: Rows of a token times its groups that are expanded at once.
+EXPANDED = 1 << 20
+_PROBE = "handle long, home long, group long, n long, shared long, least long, most long"
+
+
 def _probes(percent: int):
-    """From all postings of a part: sets with another group that shares one of their first tokens, as (handle, group, own group)."""
+    """From all postings of a part: by set and group, how many first tokens they share, and the sizes of the group's sets that share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(x, _POSTING) for b in batches for x in b.column(1).to_pylist()]
         if not held:
             return
-        rows = np.unique(np.concatenate(held))  # by token, then group: copies from other batches fall away
-        _, starts = np.unique(rows["token"], return_index=True)
-        ends = np.append(starts[1:], len(rows))
-        shared = np.flatnonzero(ends - starts > 1)
-        out: set[tuple[int, int, int]] = set()
-
-        def batch() -> pa.RecordBatch:
-            told = np.array(sorted(out), np.uint64).reshape(-1, 3).view(np.int64)
-            return pa.record_batch([pa.array(told[:, i]) for i in range(3)], names=["handle", "group", "home"])
-
-        for a in shared:
-            these = rows[starts[a] : ends[a]]
-            groups, at = np.unique(these["group"], return_index=True)
-            until = np.append(at[1:], len(these))
-            for g, lo, hi in zip(groups, at, until, strict=True):
-                least, most = int(these["n"][lo:hi].min()), int(these["n"][lo:hi].max())
-                n = these["n"].astype(np.int64)
-                fits = (100 * n >= percent * least) & (100 * most >= percent * n)
-                # A member's own group is opened for it anyway; between two groups one direction is enough.
-                ask = these[fits & ((these["group"] > g) | ((these["group"] == g) & (hi - lo > 1)))]
-                if len(ask):
-                    ask = np.concatenate([ask, these[lo:hi]])
-                    out.update(zip(ask["handle"].tolist(), [int(g)] * len(ask), ask["group"].tolist(), strict=True))
-            if len(out) > 50_000:
-                yield batch()
-                out.clear()
-        if out:
-            yield batch()
+        rows = np.concatenate(held)
+        del held
+        rows = rows[np.lexsort((rows["handle"], rows["group"], rows["token"]))]
+        fresh = np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["handle"][1:] != rows["handle"][:-1])])
+        rows = rows[fresh]  # copies from other batches fall away
+        starts = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
+        long = np.diff(np.append(starts, len(rows))) > 1
+        rows = rows[np.repeat(long, np.diff(np.append(starts, len(rows))))]
+        if not len(rows):
+            return
+        token = np.cumsum(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])) - 1
+        entry = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (rows["group"][1:] != rows["group"][:-1])]))
+        size = np.diff(np.append(entry, len(rows)))
+        n = rows["n"].astype(np.int64)
+        least, most = np.minimum.reduceat(n, entry), np.maximum.reduceat(n, entry)
+        entry_token = token[entry]
+        e_first = np.searchsorted(entry_token, np.arange(entry_token[-1] + 2))  # the entries of each token
+        width = (e_first[1:] - e_first[:-1])[token]
+        done = np.concatenate([[0], np.cumsum(width)])
+        lo = 0
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + EXPANDED, side="right")) - 1)
+            w = width[lo:hi]
+            i = np.repeat(np.arange(lo, hi), w)
+            e = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(e_first[token[lo:hi]], w)
+            own = rows["group"][i] == rows["group"][entry[e]]
+            fits = (100 * n[i] >= percent * least[e]) & (100 * most[e] >= percent * n[i]) & (~own | (size[e] > 1))
+            i, e = i[fits], e[fits]
+            handle, group = rows["handle"][i], rows["group"][entry[e]]
+            order = np.lexsort((group, handle))
+            handle, group, i, e = handle[order], group[order], i[order], e[order]
+            if len(i):
+                at = np.flatnonzero(np.concatenate([[True], (handle[1:] != handle[:-1]) | (group[1:] != group[:-1])]))
+                told = [handle[at].view(np.int64), rows["group"][i[at]].view(np.int64), group[at].view(np.int64), n[i[at]], np.diff(np.append(at, len(i))), np.minimum.reduceat(least[e], at), np.maximum.reduceat(most[e], at)]
+                yield pa.record_batch([pa.array(x) for x in told], names=["handle", "home", "group", "n", "shared", "least", "most"])
+            lo = hi
 
     return run
 
 
+def _qualifying(probes: DataFrame, percent: int) -> DataFrame:
+    """Set and group, where enough first tokens are shared for an overlap that any of the group's sets would need.
+
+    Of a set of a tokens that needs an overlap of o, a - o at most are missing in the other; so at least p - (a - o) of its
+    first p are common, and the same holds for the other side. The first common tokens of either side are among its first ones.
+    """
+    up = lambda x, y: F.floor((x + y - 1) / y).cast("long")
+    need = lambda a, b: up(F.lit(percent) * (a + b), F.lit(100 + percent))
+    n, least = F.col("n"), F.greatest(F.col("least"), up(F.lit(percent) * F.col("n"), F.lit(100)))
+    most = F.least(F.col("most"), F.floor(F.col("n") * 100 / percent).cast("long"))
+    mine = need(n, least) - up(F.lit(percent) * n, F.lit(100)) + 1
+    theirs = need(n, most) - up(F.lit(percent) * most, F.lit(100)) + 1
+    summed = probes.groupBy("handle", "home", "group").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return summed.where(F.col("shared") >= F.greatest(F.lit(1), F.least(mine, theirs))).select("handle", "home", "group")
+
+
 class _Joined:
     """Union-find over the ids of one group."""
 
@@ -273,12 +329,20 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(3)
+    for b in batches:
+        yield pa.record_batch([b.column(0), pa.array([squeeze.compress(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "z"])
+
+
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            got = [(i, shingles(hasher, raw, k).tobytes()) for i, raw in _texts([b])]
-            yield pa.record_batch([pa.array([i for i, _ in got], pa.int64()), pa.array([t for _, t in got], pa.binary())], names=["doc_id", "tokens"])
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                sets = shingled(hasher, [zstandard.decompress(z) for z in part.column(1).to_pylist()], k)
+                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
 
     return run
 
@@ -308,13 +372,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = two_columns(docs, id_col, text_col)
-    sized = staged(texts.mapInArrow(_sized(k), "doc_id long, n_shingles long, mark binary, handle long"), "jaccard-sizes")
+    both = staged(texts.mapInArrow(_sized(k), _SIZED), "jaccard-sizes")
+    sized = both.where("shard is null").select("doc_id", "n_shingles", "mark", "handle")
     # One document stands for each distinct set; its handle is the digest's first eight bytes.
     first = staged(sized.where("mark is not null and doc_id is not null").groupBy("mark", "handle").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    held = spark.sparkContext.broadcast(_sketch(texts, k))
+    held = spark.sparkContext.broadcast(_classes(both))
     parts = shuffle_parts(spark)
     packed = texts.mapInArrow(_postings(k, percent, parts, held), "part int, packed binary").repartitionById(parts, F.col("part"))
-    probes = packed.mapInArrow(_probes(percent), "handle long, group long, home long").distinct()
+    probes = _qualifying(packed.mapInArrow(_probes(percent), _PROBE), percent)
     asked = staged(probes.join(first, "handle").select(F.col("rep").alias("doc_id"), "group", "home"), "jaccard-probes")
     links = _links_of(texts, asked, k, percent, group)
     tops = components(links).withColumnRenamed("id", "rep")
@@ -323,18 +388,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: int) -> DataFrame:
-    """a, b: links that join all components. asked: each set's queries by group, its home group among them where that has others.
+    """a, b: links that join all components. asked: each set's home group and a group that it qualifies for, its home or another.
 
     A group of up to `group` members is opened by one task, for its members and for all queries to it. A larger one is split: every
     member is compared with its leader, and only members that don't link to the leader, and sets from elsewhere, query the parts.
     """
     members = asked.select("doc_id", F.col("home").alias("group")).distinct()
-    asks = asked.where("group != home").select("doc_id", "group").distinct()
+    asks = asked.where("group < home").select("doc_id", "group").distinct()  # between two groups one direction is enough
     # A group without other members or queries has nothing to open.
     busy = members.groupBy("group").agg(F.count("*").alias("m"), F.min("doc_id").alias("leader"))
     homes = staged(members.join(busy, "group"), "jaccard-members")
     wanted = homes.select("doc_id").union(asks.select("doc_id")).distinct()
-    tokens = staged(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_tokens(k), "doc_id long, tokens binary"), "jaccard-tokens")
+    tokens = staged(texts.mapInArrow(_squeezed, "doc_id long, z binary").join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_tokens(k), "doc_id long, tokens binary"), "jaccard-tokens")
     large = homes.where(F.col("m") > group)
     leading = large.where("doc_id = leader").join(tokens, "doc_id").select("group", F.col("tokens").alias("leading"))
     led = staged(large.join(tokens, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "tokens", "leading").mapInArrow(_led(percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led")
