@@ -75,7 +75,7 @@ class Shard:
                 break
             more = order[i : i + STEP]
             score = score + q[more] @ rows[np.ix_(more, at)]
-            i += STEP
+            i = min(i + STEP, d)
         if len(at) > 4 * k:
             cut = np.partition(score.astype(np.float64), len(score) - k)[len(score) - k]
             keep = score >= cut
