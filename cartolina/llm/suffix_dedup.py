@@ -155,30 +155,40 @@ def _rows(told: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.int32()), pa.array([t[2] for t in told], pa.binary())], names=["doc", "tag", "packed"])
 
 
-def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a part's owners those whose KEEP bytes stand at two places, by document."""
-    held = [_unpack(x, *_POSTED) for b in batches for x in b.column(1).to_pylist()]
-    if not held:
-        return
-    keep = np.concatenate([h[0] for h in held])
-    _, inverse, count = np.unique(keep, return_inverse=True, return_counts=True)
-    some = count[inverse] > 1
-    docs = np.concatenate([np.cumsum(h[1]) for h in held])[some]
-    tags, runs, inverse = np.concatenate([h[2] for h in held])[some], np.concatenate([h[3] for h in held])[some], inverse[some]
-    del held, keep, some
-    # A row that is repeated as a whole, or the two pieces of a cut text, show the same place again: that is no second place.
-    order = np.lexsort((runs["at"], tags, docs, inverse))
-    i, d, t, a = inverse[order], docs[order], tags[order], runs["at"][order]
-    fresh = np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1])]) if len(i) else np.zeros(0, bool)
-    places = np.bincount(i[fresh], minlength=len(count))
-    real = places[inverse] > 1
-    told = []
-    for row in _by_document(docs[real], tags[real], runs[real]):
-        told.append(row)
-        if len(told) >= 5000:
-            yield _rows(told)
-            told = []
-    yield _rows(told)
+def _twice(parts: int):
+    """Of a part's owners those whose KEEP bytes stand at two places, packed by bucket of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpack(x, *_POSTED) for b in batches for x in b.column(1).to_pylist()]
+        if not held:
+            return
+        keep = np.concatenate([h[0] for h in held])
+        _, inverse, count = np.unique(keep, return_inverse=True, return_counts=True)
+        some = count[inverse] > 1
+        docs = np.concatenate([np.cumsum(h[1]) for h in held])[some]
+        tags, runs, inverse = np.concatenate([h[2] for h in held])[some], np.concatenate([h[3] for h in held])[some], inverse[some]
+        del held, keep, some
+        # A row that is repeated as a whole, or the two pieces of a cut text, show the same place again: that is no second place.
+        order = np.lexsort((runs["at"], tags, docs, inverse))
+        i, d, t, a = inverse[order], docs[order], tags[order], runs["at"][order]
+        fresh = np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1])]) if len(i) else np.zeros(0, bool)
+        real = np.bincount(i[fresh], minlength=len(count))[inverse] > 1
+        docs, tags, runs = docs[real], tags[real], runs[real]
+        bucket = ((docs.astype(np.uint64) * _M1) >> np.uint64(33)) % np.uint64(parts)
+        order = np.lexsort((docs, bucket))
+        cuts = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
+        owns = [order[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        yield pa.record_batch([pa.array([int(bucket[o[0]]) for o in owns], pa.int32()), pa.array([_pack(docs[o], tags[o], runs[o]) for o in owns], pa.binary())], names=["part", "packed"])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's documents, each with all its runs."""
+    held = [_unpack(x, "<i8", "<u2", _RUN) for b in batches for x in b.column(1).to_pylist()]
+    told = list(_by_document(*(np.concatenate([h[i] for h in held]) for i in range(3)))) if held else []
+    for lo in range(0, len(told), 5000):
+        yield _rows(told[lo : lo + 5000])
 
 
 def _suffixes(splitters: list[bytes]):
@@ -187,37 +197,31 @@ def _suffixes(splitters: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            earliest: dict[tuple[bytes, int], tuple[int, int, int]] = {}
+            earliest: dict[tuple, tuple[int, int, int]] = {}
             gone: list[tuple[int, int, int, int]] = []
-            seen: set[tuple[int, int, int, int]] = set()
             for doc, tag, z, packed in sorted(rows, key=lambda r: (r[0], r[1])):
                 raw = zstandard.decompress(z)
-                for runs in packed:
-                    for at, lo, hi in np.frombuffer(runs, _RUN).tolist():
-                        if (doc, tag, at, lo) in seen:
-                            continue
-                        seen.add((doc, tag, at, lo))
-                        start = at - lo
-                        s = (raw[start : at - hi + WINDOW], lo)
-                        here = (doc, start, tag)
-                        was = earliest.setdefault(s, here)
-                        if was[:2] == here[:2]:
-                            if was[2] != tag:  # another row of the same id: neither is earlier
-                                gone.append((doc, tag, start, 0))
-                            continue
-                        if here < was:
-                            earliest[s], here = here, was
-                        gone.append((here[0], here[2], here[1], lo - hi + 1))
+                for at, lo, hi in np.unique(np.frombuffer(packed, _RUN)).tolist():
+                    start = at - lo
+                    s = (raw[start : at - hi + WINDOW], lo)
+                    here = (doc, start, tag)
+                    was = earliest.setdefault(s, here)
+                    if was[:2] == here[:2]:
+                        if was[2] != tag:  # another row of the same id: neither is earlier, so both go on
+                            earliest[(*s, tag)] = here
+                        continue
+                    if here < was:
+                        earliest[s], here = here, was
+                    gone.append((here[0], here[2], here[1], lo - hi + 1))
             buckets: dict[int, list] = {}
-            for (s, lo), (doc, start, tag) in earliest.items():
+            for (s, lo, *_), (doc, start, tag) in earliest.items():
                 buckets.setdefault(bisect.bisect_right(splitters, s[lo : lo + LEAD]), []).append((s, lo, doc, start, tag))
             out = []
             for k, own in buckets.items():
                 meta = np.array([(doc, start, tag, lo, len(s)) for s, lo, doc, start, tag in own], np.int64)
-                out.append((k, meta.tobytes(), b"".join(r[0] for r in own)))
+                out.append((k, _pack(meta), zstandard.compress(b"".join(r[0] for r in own), 1)))
             if gone:
-                meta = np.array([g for g in gone if g[3]], np.int64).reshape(-1, 4)
-                out.append((int(meta[0, 0] % (len(splitters) + 1)) if len(meta) else 0, meta.tobytes(), None))
+                out.append((gone[0][0] % (len(splitters) + 1), _pack(np.array(gone, np.int64)), None))
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["bucket", "meta", "strings"])
 
     return run
@@ -294,12 +298,12 @@ def _sorted_buckets(splitters: list[bytes], parts: int):
         for b in batches:
             for meta, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if data is None:
-                    gone = np.frombuffer(meta, np.int64).reshape(-1, 4)
+                    gone = _unpack(meta, "<i8")[0].reshape(-1, 4)
                     spans = np.empty(len(gone), _SPAN)
                     spans["start"], spans["count"] = gone[:, 2], gone[:, 3]
                     told += [(-1, *r) for r in _by_document(gone[:, 0], gone[:, 1], spans)]
                     continue
-                m = np.frombuffer(meta, np.int64).reshape(-1, 5)
+                m, data = _unpack(meta, "<i8")[0].reshape(-1, 5), zstandard.decompress(data)
                 metas.append(m)
                 ends = np.cumsum(m[:, 4])
                 strings += [data[e - n : e] for e, n in zip(ends.tolist(), m[:, 4].tolist(), strict=True)]
@@ -425,8 +429,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _keyed(docs, id_col, text_col)
     splitters = _splitters(texts, buckets or parts)
     squeezed = texts.mapInArrow(_compressed, "doc_id long, doc long, tag int, z binary")
-    twice = texts.select("doc", "tag", "raw").mapInArrow(_posted(parts), "part int, packed binary").repartitionById(parts, F.col("part")).mapInArrow(_twice, "doc long, tag int, packed binary")
-    runs = twice.groupBy("doc", "tag").agg(F.collect_list("packed").alias("packed"))
+    packed = "part int, packed binary"
+    twice = texts.select("doc", "tag", "raw").mapInArrow(_posted(parts), packed).repartitionById(parts, F.col("part")).mapInArrow(_twice(parts), packed)
+    runs = twice.repartitionById(parts, F.col("part")).mapInArrow(_gathered, "doc long, tag int, packed binary")
     strings = squeezed.join(runs, ["doc", "tag"]).select("doc", "tag", "z", "packed").mapInArrow(_suffixes(splitters), "bucket int, meta binary, strings binary")
     found = staged(strings.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(_sorted_buckets(splitters, parts), "part int, doc long, tag int, packed binary"), "suffix-spans")
     across = found.where("part >= 0").select("part", "packed").repartitionById(parts, F.col("part")).mapInArrow(_across, "doc long, tag int, packed binary")
