@@ -89,7 +89,7 @@ def neighborhoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     known = nodes.select("repo", "id").distinct()
     pairs = edges.where("`from` <> `to`").select("repo", "from", "to")
-    both = pairs.union(pairs.select("repo", "to", "from")).groupBy("repo", F.col("from").alias("u"), F.col("to").alias("v")).agg(F.count("*").alias("w"))
+    both = pairs.union(pairs.select("repo", "to", "from")).groupBy("repo", F.col("from").alias("u"), F.col("to").alias("v")).agg(F.count("*").alias("w")).toDF("_repo", "u", "v", "w")
     schema = "repo string, id string, community long"
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -99,7 +99,7 @@ def neighborhoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         home = _modularity(names, right["u"].map(at).to_numpy(int), right["v"].map(at).to_numpy(int), right["w"].to_numpy())
         return pd.DataFrame({"repo": [key[0]] * len(names), "id": names, "community": home})
 
-    found = known.groupBy("repo").cogroup(both.groupBy("repo")).applyInPandas(search, schema)
+    found = known.groupBy("repo").cogroup(both.groupBy("_repo")).applyInPandas(search, schema)
     return renumbered(found.where("id is not null"))
 
 

@@ -80,4 +80,4 @@ def placed(nodes: DataFrame, links: DataFrame, group: str = "repo") -> DataFrame
         xy = simulate(left["radius"].to_numpy(float), left["ax"].to_numpy(float), left["ay"].to_numpy(float), pairs)
         return pd.DataFrame({group: [key[0]] * len(left), "id": left["id"], "x": xy[:, 0], "y": xy[:, 1]})
 
-    return nodes.groupBy(group).cogroup(links.select(group, "from", "to").groupBy(group)).applyInPandas(run, schema)
+    return nodes.groupBy(group).cogroup(links.select(group, "from", "to").toDF("_group", "from", "to").groupBy("_group")).applyInPandas(run, schema)

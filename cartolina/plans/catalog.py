@@ -253,8 +253,8 @@ ORACLE_SQL = {
         WITH l AS (SELECT 'l:' || l_orderkey || ':' || l_linenumber AS id, 'l:' || l_orderkey || ':' || (l_linenumber - 1) AS prev, * FROM lineitem), i AS (SELECT id FROM l WHERE l_suppkey = 3),
         r AS (SELECT 'symbols' AS list, id AS item, l_returnflag AS other, l_linenumber AS line FROM l WHERE l_suppkey = 3
               UNION ALL SELECT DISTINCT 'importedBy', 'o:' || l_orderkey, l_linestatus, NULL::INT FROM l WHERE l_suppkey = 3
-              UNION ALL SELECT 'callsOut', id, prev, NULL FROM l WHERE l_linenumber > 1 AND l_suppkey = 3 AND prev NOT IN (SELECT id FROM i)
-              UNION ALL SELECT 'callsIn', id, prev, NULL FROM l WHERE l_linenumber > 1 AND l_suppkey <> 3 AND prev IN (SELECT id FROM i) AND id NOT IN (SELECT id FROM i)),
+              UNION ALL SELECT 'callsOut', id, prev, NULL FROM l WHERE l_linenumber > 1 AND id IN (SELECT id FROM i) AND prev NOT IN (SELECT id FROM i)
+              UNION ALL SELECT 'callsIn', id, prev, NULL FROM l WHERE l_linenumber > 1 AND prev IN (SELECT id FROM i) AND id NOT IN (SELECT id FROM i)),
         t AS (SELECT *, count(*) OVER (PARTITION BY list) AS total, row_number() OVER (PARTITION BY list ORDER BY line NULLS FIRST, item, other) AS rn FROM r)
         SELECT list, item, other, line, total FROM t WHERE rn <= 50""",
     "frames_asof": """
