@@ -49,11 +49,10 @@ def resolve_frames(frames: DataFrame, modules: DataFrame, symbols: DataFrame) ->
     (resolved); else the one symbol of that name in the repository (inferred).
     """
     keyed = frames.withColumn("frame_id", F.struct("trace_id", "frame")).withColumn("tail", path_tail(F.col("file"))).withColumn("want", bare_name(F.col("fn")))
-    paths = modules.select("id", "path", "seq", path_tail(F.col("path")).alias("tail"))
-    # A module's path ends with the frame's last two segments; equal tails make this an equi-join, and one-segment frames match by their name.
-    short = modules.select("id", "path", "seq", F.substring_index("path", "/", -1).alias("tail"))
-    both = paths.unionByName(short).distinct()
-    placed = keyed.join(both, "tail").groupBy("frame_id").agg(F.max_by("id", "seq").alias("module"))
+    # A module's path ends with the frame's last two segments; joining by the last one makes this an equi-join.
+    base = lambda c: F.substring_index(c, "/", -1)
+    paths = modules.select("id", "path", "seq", base("path").alias("base"))
+    placed = keyed.withColumn("base", base("file")).join(paths, "base").where(F.col("path").endswith(F.col("tail"))).groupBy("frame_id").agg(F.max_by("id", "seq").alias("module"))
     known = keyed.join(placed, "frame_id", "left")
     decls = symbols.select(F.col("id").alias("decl_id"), "module", "line", "seq", bare_name(F.col("name")).alias("bare"))
     lined = known.where("module is not null and line is not null").select("frame_id", "module", "line", "want")
