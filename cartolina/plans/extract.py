@@ -87,12 +87,12 @@ def build(spark: SparkSession, repos: dict[str, str], ignore: list[str] | None =
     symbols = rows.where("tag = 'symbol'").select("repo", F.concat("module", F.lit(":"), "name").alias("id"), "name", "kind", "module", "line", "exported", "parent", "engine", "seq")
     idents = rows.where("tag = 'ident'").select("repo", "engine", "name", "n")
     counts = resolve.reference_counts(symbols, idents)
-    symbols = symbols.withColumn("bare", bare_name(F.col("name"))).join(counts, ["repo", "engine", "bare"], "left").withColumn("refCount", F.col("refCount").cast("int")).drop("bare")
+    symbols = symbols.withColumn("bare", bare_name(F.col("name"))).join(counts, ["repo", "engine", "bare"], "left").withColumn("refCount", F.col("refCount").cast("int")).drop("bare").persist()
     raw = rows.where("tag = 'call'").select("repo", F.col("name").alias("from"), "module", F.col("other").alias("callee"), "seq")
     calls = resolve.resolved_calls(symbols, raw).withColumn("seq", F.lit(1 << 58).cast("long"))
     bases = rows.where("tag = 'base'").select("repo", F.col("name").alias("from"), F.col("other").alias("to"), "kind", F.lit("inferred").alias("confidence"), "seq")
-    edges = _imports(rows).unionByName(bases).unionByName(calls.select("repo", "from", "to", "kind", "confidence", "seq"))
-    modules = _analysed(modules, edges)
+    edges = _imports(rows).unionByName(bases).unionByName(calls.select("repo", "from", "to", "kind", "confidence", "seq")).persist()
+    modules = _analysed(modules, edges).persist()
     if with_layout:
         modules = _placed_modules(modules, edges)
         symbols = _placed_symbols(symbols, edges)
