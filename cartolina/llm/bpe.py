@@ -184,10 +184,10 @@ class Codec:
 
     def _words(self, token: str) -> list[str]:
         """A token without white space, cut and spelled in byte letters."""
-        if token.isascii() and not _ODD_SPACE.search(token):
+        if token.isascii() and token.isprintable():
             return _PLAIN.findall(token.lower())
         if max(token) <= _PLAIN_END and not _ODD_SPACE.search(token):
-            return [w if w.isascii() else "".join(self.bytes[b] for b in w.encode()) for w in _PLAIN.findall(token.lower())]
+            return ["".join(map(self.bytes.__getitem__, w.encode())) for w in _PLAIN.findall(token.lower())]
         return [w for w, _ in self.pre_tokenize(self.normalize(token))]
 
     def _learn(self, tokens: set[str]) -> None:
