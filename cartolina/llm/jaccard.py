@@ -1,11 +1,11 @@
 """Exact n-gram Jaccard self-join with a token-group matrix.
 
-Texts with equal shingle sets count once. Sets that are likely alike form groups: those with the same first token in one
-order of all tokens, seldom ones first by a sketch of fixed size. A group's column of the token-group matrix is the union of its
-members' tokens. A set queries a group only if the two share a token among those that come first in
-the order, as any pair of enough overlap must; then the number of its tokens in the group's union bounds its overlap with
-every member, and only groups whose bound qualifies are opened and compared member by member. Members whose
-component is joined to the query already are passed over, as another link would not change it.
+Texts with equal shingle sets count once. All tokens have one order, seldom ones first by a sketch of fixed size, and sets with enough
+overlap share many of those that come first in it. Sets that are likely alike form groups: those whose least first token that
+any other set shares is the same. A group's column of the token-group matrix is the union of its members' tokens. How
+many first tokens a set shares with a group bounds its overlap with every member; where that qualifies the group is opened, the
+bound is taken again over its whole union, and the members are compared. Members whose component is joined
+to the query's already are passed over, as another link would not change it.
 """
 
 from __future__ import annotations
@@ -20,20 +20,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolina.llm.common import shuffle_parts, staged, two_columns
+from cartolina.llm.common import shuffle_parts, small_batches, staged, two_columns
 from cartolina.llm.components import components
 
-CELLS = 1 << 20
+CELLS = 1 << 24
 SKETCH_SHARDS = 64
 #: Groups with more members are split, and their members first compared with one leader.
 GROUP = 256
+MORE = 10
+SELDOM = 8
+#: Sets of a group differ in size by less than this factor.
+SIZES = 1.1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Hasher:
     """64-bit hashes of words, kept for the words met last."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.limit, self.known, self.old = limit, {}, {}
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -78,7 +82,8 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """How many first tokens are posted: one more than may be missing would do; a tenth more makes the bound on shared ones sharp."""
+    return n - -(-percent * n // 100) + max(1, n // MORE)
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -136,37 +141,44 @@ def _row(*columns: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["doc_id", "n_shingles", "mark", "handle", "shard", "cells"])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for shard, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(zstandard.decompress(cells), np.int32).astype(np.int64)
-            total[shard] = total[shard] + got if shard in total else got
-    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["shard", "cells"])
+def _added(usual: float):
+    """Summed shards, each cell as the power of two by which its count exceeds what most cells have: one byte."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for shard, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = np.frombuffer(zstandard.decompress(cells), np.int32)
+                total[shard] = total[shard] + got if shard in total else got.astype(np.int64)
+        told = [np.ceil(np.log2(np.maximum(c / usual, 1))).astype(np.uint8).tobytes() for c in total.values()]
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(told, pa.binary())], names=["shard", "cells"])
+
+    return run
 
-def _classes(sized: DataFrame) -> np.ndarray:
-    """By cell of a token's hash, the power of two of its count: CELLS bytes, whatever the input."""
-    shards = sized.where("shard is not null").select("shard", "cells").repartitionById(SKETCH_SHARDS, F.col("shard")).mapInArrow(_added, "shard int, cells binary").collect()
-    cells = np.zeros((SKETCH_SHARDS, CELLS // SKETCH_SHARDS), np.int64)
+
+def _classes(both: DataFrame) -> np.ndarray:
+    """By cell of a token's hash, the class of its count: CELLS bytes, whatever the input. Counts up to SELDOM, or twice the mean, are alike."""
+    total = both.agg(F.sum("n_shingles")).first()[0] or 0
+    usual = max(float(SELDOM), 2 * total / CELLS)
+    shards = both.where("shard is not null").select("shard", "cells").repartitionById(SKETCH_SHARDS, F.col("shard")).mapInArrow(_added(usual), "shard int, cells binary").collect()
+    cells = np.zeros((SKETCH_SHARDS, CELLS // SKETCH_SHARDS), np.uint8)
     for r in shards:
-        cells[r["shard"]] += np.frombuffer(r["cells"], np.int64)
-    flat = cells.ravel()
-    usual = max(1.0, float(flat.mean()))
-    return np.ceil(np.log2(np.maximum(flat / (2 * usual), 1))).astype(np.uint64)  # all cells up to twice the mean are alike
+        cells[r["shard"]] = np.frombuffer(r["cells"], np.uint8)
+    return cells.ravel()
 
 
 def _first(tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     """A set's first tokens in the order of class, then hash."""
-    key = (classes[_cell(tokens)] << np.uint64(58)) | (tokens >> np.uint64(6))
+    key = (classes[_cell(tokens)].astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(6))
     return tokens[np.argsort(key, kind="stable")[: prefix_size(len(tokens), percent)]]
 
 
+_FIRST = np.dtype([("token", "<u8"), ("handle", "<u8"), ("n", "<u4")])
 _POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("handle", "<u8"), ("n", "<u4")])
 
 
 def _postings(k: int, percent: int, parts: int, held):
-    """For each chunk and part, packed: token, group, handle (from the set's digest) and size, for the first tokens of each distinct set."""
+    """For each chunk and part, packed: token, handle (from the set's digest) and size, for the first tokens of each distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, classes, seen = Hasher(), held.value, set()
@@ -178,46 +190,80 @@ def _postings(k: int, percent: int, parts: int, held):
                     continue
                 seen.add(mark)
                 first = _first(s, classes, percent)
-                p = np.empty(len(first), _POSTING)
-                p["token"], p["group"], p["handle"], p["n"] = first, first[0], np.frombuffer(mark[:8], "<u8")[0], len(s)
+                p = np.empty(len(first), _FIRST)
+                p["token"], p["handle"], p["n"] = first, np.frombuffer(mark[:8], "<u8")[0], len(s)
                 rows.append(p)
             if last:
                 seen.clear()
             if not rows:
                 continue
-            every = np.concatenate(rows)
-            part = ((every["token"] * _B) >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            every, part = every[order], part[order]
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            lists = np.split(every, cuts)
-            yield pa.record_batch([pa.array(part[np.concatenate([[0], cuts])].astype(np.int32)), pa.array([x.tobytes() for x in lists], pa.binary())], names=["part", "packed"])
+            yield _parted(np.concatenate(rows), "token", parts)
+
+    return run
+
+
+def _parted(rows: np.ndarray, by: str, parts: int) -> pa.RecordBatch:
+    """Rows packed by the part of one of their fields."""
+    part = ((rows[by] * _B) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return pa.record_batch([pa.array(part[np.concatenate([[0], cuts])].astype(np.int32)), pa.array([zstandard.compress(x.tobytes(), 1) for x in np.split(rows, cuts)], pa.binary())], names=["part", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(zstandard.decompress(x), kind) for b in batches for x in b.column(1).to_pylist())])
+
+
+def _shared(parts: int):
+    """Of a part's tokens those that two sets at least have among their first, packed by set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _unpacked(batches, _FIRST)
+        rows = rows[np.lexsort((rows["handle"], rows["token"]))]
+        if len(rows):
+            same = rows["token"][1:] == rows["token"][:-1]
+            rows = rows[np.concatenate([[True], ~same | (rows["handle"][1:] != rows["handle"][:-1])])]  # copies from other batches fall away
+            same = rows["token"][1:] == rows["token"][:-1]
+            rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        if len(rows):
+            yield _parted(rows, "handle", parts)
+
+    return run
+
+
+def _grouped(parts: int):
+    """Each set's group: the least of its shared first tokens, which most sets of one family have, and its size's class; packed by token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _unpacked(batches, _FIRST)
+        if len(rows):
+            rows = rows[np.lexsort((rows["token"], rows["handle"]))]
+            new = np.concatenate([[True], rows["handle"][1:] != rows["handle"][:-1]])
+            out = np.empty(len(rows), _POSTING)
+            for name in ("token", "handle", "n"):
+                out[name] = rows[name]
+            size = np.floor(np.log(rows["n"]) / np.log(SIZES)).astype(np.uint64)
+            out["group"] = _mix(rows["token"][np.flatnonzero(new)[np.cumsum(new) - 1]], size)
+            yield _parted(out, "token", parts)
 
     return run
 
 
 #: Rows of a token times its groups that are expanded at once.
-EXPANDED = 1 << 20
-_PROBE = "handle long, home long, group long, n long, shared long, least long, most long"
+EXPANDED = 1 << 18
+_PACKED = "part int, packed binary"
+_PROBE = np.dtype([("handle", "<u8"), ("home", "<u8"), ("group", "<u8"), ("n", "<i8"), ("shared", "<i8"), ("least", "<i8"), ("most", "<i8")])
 
 
-def _probes(percent: int):
-    """From all postings of a part: by set and group, how many first tokens they share, and the sizes of the group's sets that share one."""
+def _probes(percent: int, parts: int):
+    """From all postings of a part: by set and group, how many first tokens they share, and the sizes of the group's sets that share one; packed by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, _POSTING) for b in batches for x in b.column(1).to_pylist()]
-        if not held:
-            return
-        rows = np.concatenate(held)
-        del held
-        rows = rows[np.lexsort((rows["handle"], rows["group"], rows["token"]))]
-        fresh = np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["handle"][1:] != rows["handle"][:-1])])
-        rows = rows[fresh]  # copies from other batches fall away
-        starts = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
-        long = np.diff(np.append(starts, len(rows))) > 1
-        rows = rows[np.repeat(long, np.diff(np.append(starts, len(rows))))]
+        rows = _unpacked(batches, _POSTING)
         if not len(rows):
             return
+        rows = rows[np.lexsort((rows["handle"], rows["group"], rows["token"]))]
         token = np.cumsum(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])) - 1
         entry = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (rows["group"][1:] != rows["group"][:-1])]))
         size = np.diff(np.append(entry, len(rows)))
@@ -241,27 +287,42 @@ def _probes(percent: int):
             handle, group, i, e = handle[order], group[order], i[order], e[order]
             if len(i):
                 at = np.flatnonzero(np.concatenate([[True], (handle[1:] != handle[:-1]) | (group[1:] != group[:-1])]))
-                told = [handle[at].view(np.int64), rows["group"][i[at]].view(np.int64), group[at].view(np.int64), n[i[at]], np.diff(np.append(at, len(i))), np.minimum.reduceat(least[e], at), np.maximum.reduceat(most[e], at)]
-                yield pa.record_batch([pa.array(x) for x in told], names=["handle", "home", "group", "n", "shared", "least", "most"])
+                out = np.empty(len(at), _PROBE)
+                out["handle"], out["home"], out["group"], out["n"] = handle[at], rows["group"][i[at]], group[at], n[i[at]]
+                out["shared"] = np.diff(np.append(at, len(i)))
+                out["least"], out["most"] = np.minimum.reduceat(least[e], at), np.maximum.reduceat(most[e], at)
+                yield _parted(out, "handle", parts)
             lo = hi
 
     return run
 
 
-def _qualifying(probes: DataFrame, percent: int) -> DataFrame:
-    """Set and group, where enough first tokens are shared for an overlap that any of the group's sets would need.
+def qualifies(n: np.ndarray, shared: np.ndarray, least: np.ndarray, most: np.ndarray, percent: int) -> np.ndarray:
+    """Whether enough first tokens are shared for an overlap that any of the group's sets would need.
 
     Of a set of a tokens that needs an overlap of o, a - o at most are missing in the other; so at least p - (a - o) of its
     first p are common, and the same holds for the other side. The first common tokens of either side are among its first ones.
     """
-    up = lambda x, y: F.floor((x + y - 1) / y).cast("long")
-    need = lambda a, b: up(F.lit(percent) * (a + b), F.lit(100 + percent))
-    n, least = F.col("n"), F.greatest(F.col("least"), up(F.lit(percent) * F.col("n"), F.lit(100)))
-    most = F.least(F.col("most"), F.floor(F.col("n") * 100 / percent).cast("long"))
-    mine = need(n, least) - up(F.lit(percent) * n, F.lit(100)) + 1
-    theirs = need(n, most) - up(F.lit(percent) * most, F.lit(100)) + 1
-    summed = probes.groupBy("handle", "home", "group").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
-    return summed.where(F.col("shared") >= F.greatest(F.lit(1), F.least(mine, theirs))).select("handle", "home", "group")
+    least, most = np.maximum(least, -(-percent * n // 100)), np.minimum(most, 100 * n // percent)
+    need = lambda b: -(-percent * (n + b) // (100 + percent))
+    spare = lambda x: np.maximum(1, x // MORE) - -(-percent * x // 100)
+    # The other side's bound falls as it grows, but for rounding.
+    return shared >= np.maximum(1, np.minimum(need(least) + spare(n), need(most) + spare(most) - 2))
+
+
+def _qualified(percent: int):
+    """Set, home and group where the bound on their overlap qualifies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _unpacked(batches, _PROBE)
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows["group"], rows["handle"]))]
+        at = np.flatnonzero(np.concatenate([[True], (rows["handle"][1:] != rows["handle"][:-1]) | (rows["group"][1:] != rows["group"][:-1])]))
+        good = at[qualifies(rows["n"][at], np.add.reduceat(rows["shared"], at), np.minimum.reduceat(rows["least"], at), np.maximum.reduceat(rows["most"], at), percent)]
+        yield pa.record_batch([pa.array(rows[c][good].view(np.int64)) for c in ("handle", "home", "group")], names=["handle", "home", "group"])
+
+    return run
 
 
 class _Joined:
@@ -339,8 +400,8 @@ def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
                 sets = shingled(hasher, [zstandard.decompress(z) for z in part.column(1).to_pylist()], k)
                 yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
 
@@ -367,7 +428,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A text's set is its distinct k-word shingles, or its one whole sequence if it has fewer words; two texts link if 100 *
     intersection >= percent * union. component_id is the smallest id reached by links. A null text, or one without words, has
-    no shingles and links with nothing. Equal sets always link; repeated rows each get their row; rows with a null id never stand for
+    no shingles and links with nothing. Equal sets always link; repeated rows each get their row; rows of one id with other texts are one document to links; rows with a null id never stand for
     others; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -378,11 +439,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = staged(sized.where("mark is not null and doc_id is not null").groupBy("mark", "handle").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     held = spark.sparkContext.broadcast(_classes(both))
     parts = shuffle_parts(spark)
-    packed = texts.mapInArrow(_postings(k, percent, parts, held), "part int, packed binary").repartitionById(parts, F.col("part"))
-    probes = _qualifying(packed.mapInArrow(_probes(percent), _PROBE), percent)
+    packed = texts.mapInArrow(_postings(k, percent, parts, held), _PACKED).repartitionById(parts, F.col("part"))
+    for step in (_shared(parts), _grouped(parts)):
+        packed = packed.mapInArrow(step, _PACKED).repartitionById(parts, F.col("part"))
+    packed = packed.mapInArrow(_probes(percent, parts), _PACKED).repartitionById(parts, F.col("part"))
+    probes = packed.mapInArrow(_qualified(percent), "handle long, home long, group long")
     asked = staged(probes.join(first, "handle").select(F.col("rep").alias("doc_id"), "group", "home"), "jaccard-probes")
-    links = _links_of(texts, asked, k, percent, group)
-    tops = components(links).withColumnRenamed("id", "rep")
+    with small_batches(spark):
+        tops = components(_links_of(texts, asked, k, percent, group)).withColumnRenamed("id", "rep")
     told = first.join(tops, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
     return sized.join(told, "mark", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -399,7 +463,7 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     busy = members.groupBy("group").agg(F.count("*").alias("m"), F.min("doc_id").alias("leader"))
     homes = staged(members.join(busy, "group"), "jaccard-members")
     wanted = homes.select("doc_id").union(asks.select("doc_id")).distinct()
-    tokens = staged(texts.mapInArrow(_squeezed, "doc_id long, z binary").join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_tokens(k), "doc_id long, tokens binary"), "jaccard-tokens")
+    tokens = staged(texts.mapInArrow(_squeezed, "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(_tokens(k), "doc_id long, tokens binary"), "jaccard-tokens")
     large = homes.where(F.col("m") > group)
     leading = large.where("doc_id = leader").join(tokens, "doc_id").select("group", F.col("tokens").alias("leading"))
     led = staged(large.join(tokens, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "tokens", "leading").mapInArrow(_led(percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led")
