@@ -25,6 +25,7 @@ _FOREVER = 1 << 60
 #: Letters and numbers up to U+024F, by their Unicode categories; beyond it the library's own splitter works.
 _PLAIN_END = "ɏ"
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zA-ZªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+")
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -181,6 +182,7 @@ class Codec:
         self.known: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.old_words: dict[str, tuple[bytes, str]] = {}
 
     def _words(self, token: str) -> list[str]:
         """A token without white space, cut and spelled in byte letters."""
@@ -192,13 +194,15 @@ class Codec:
 
     def _learn(self, tokens: set[str]) -> None:
         cut = {t: self._words(t) for t in tokens}
-        plain = {w for words in cut.values() for w in words}
-        ids = {w: self.words[w] for w in plain if w in self.words}
-        for w, coded in self.merges.encode(plain.difference(ids)).items():
-            ids[w] = (struct.pack(f"<{len(coded)}I", *coded), " ".join(map(self.names.__getitem__, coded)))
         if len(self.words) > self.limit:
-            self.words = {}
-        self.words |= ids
+            self.old_words, self.words = self.words, {}
+        ids, old, names = self.words, self.old_words, self.names
+        plain = {w for words in cut.values() for w in words}.difference(ids)
+        for w in [w for w in plain if w in old]:
+            ids[w] = old[w]
+            plain.discard(w)
+        for w, coded in self.merges.encode(plain).items():
+            ids[w] = (_PACKED[len(coded)](*coded) if len(coded) < 16 else struct.pack(f"<{len(coded)}I", *coded), " ".join([names[i] for i in coded]))
         for t, words in cut.items():
             self.known[t] = ids[words[0]] if len(words) == 1 else (b"".join([ids[w][0] for w in words]), " ".join([ids[w][1] for w in words]))
 
