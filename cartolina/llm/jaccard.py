@@ -368,16 +368,18 @@ def open_groups(members: list[tuple[int, np.ndarray]], queries: list[tuple[int,
     return links, away
 
 
-def _opened(percent: int):
+def _opened(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, queries = None, [], []
+        hasher, now, members, queries = Hasher(), None, [], []
         for b in batches:
             links: list[tuple[int, int]] = []
-            for g, part, doc, query, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            *keys, texts = b.columns
+            sets = shingled(hasher, [zstandard.decompress(z) for z in texts.to_pylist()], k)
+            for (g, part, doc, query), tokens in zip(zip(*(c.to_pylist() for c in keys), strict=True), sets, strict=True):
                 if (g, part) != now:
                     links += open_groups(members, queries, percent)[0]
                     now, members, queries = (g, part), [], []
-                (queries if query else members).append((doc, np.frombuffer(tokens, np.uint64)))
+                (queries if query else members).append((doc, tokens))
             if links:
                 yield _links(links)
         links = open_groups(members, queries, percent)[0]
@@ -396,29 +398,50 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array([squeeze.compress(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "z"])
 
 
-def _tokens(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+#: Bits of the filter on ids; it has a fixed size and only spares the join after it some rows.
+FILTER = 1 << 23
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * _A) >> np.uint64(41)).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER, np.uint8)
+    for b in batches:
+        bits[_slots(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = 1
+    yield pa.record_batch([pa.array([zstandard.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and packed text of the wanted ids."""
+    bits = np.zeros(FILTER // 8, np.uint8)
+    for r in wanted.select("doc_id").mapInArrow(_marked, "bits binary").toLocalIterator():  # one small blob a task at a time
+        bits |= np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(held.value).astype(bool)
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                sets = shingled(hasher, [zstandard.decompress(z) for z in part.column(1).to_pylist()], k)
-                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
+            ids = b.column(0)
+            keep = on[_slots(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ~np.asarray(ids.is_null())
+            yield from _squeezed(iter([b.filter(pa.array(keep))]))
 
-    return run
+    return texts.mapInArrow(near, "doc_id long, z binary").join(wanted, "doc_id")
 
 
-def _led(percent: int):
-    """Members of a large group beside its leader's tokens: whether they link to it."""
+def _led(k: int, percent: int):
+    """Members of a large group beside its leader's text: whether they link to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for b in batches:
-            c = {n: b.column(i).to_pylist() for i, n in enumerate(("doc_id", "group", "leader", "tokens", "leading"))}
+            c = {n: b.column(i).to_pylist() for i, n in enumerate(("doc_id", "group", "leader", "z", "leading"))}
+            leaders = {z: s for z, s in zip(set(c["leading"]), shingled(hasher, [zstandard.decompress(z) for z in set(c["leading"])], k), strict=True)}
             core = []
-            for t, lead in zip(c["tokens"], c["leading"], strict=True):
-                x, y = np.frombuffer(t, np.uint64), np.frombuffer(lead, np.uint64)
-                core.append(_overlap(x, y) >= needed(len(x), len(y), percent))
-            yield pa.record_batch([pa.array(c["doc_id"], pa.int64()), pa.array(c["group"], pa.int64()), pa.array(c["leader"], pa.int64()), pa.array(core)], names=["doc_id", "group", "leader", "core"])
+            for x, z in zip(shingled(hasher, [zstandard.decompress(z) for z in c["z"]], k), c["leading"], strict=True):
+                core.append(_overlap(x, leaders[z]) >= needed(len(x), len(leaders[z]), percent))
+            yield pa.record_batch([pa.array(c["doc_id"], pa.int64()), pa.array(c["group"], pa.int64()), pa.array(c["leader"], pa.int64()), pa.array(core, pa.bool_())], names=["doc_id", "group", "leader", "core"])
 
     return run
 
@@ -463,14 +486,14 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     busy = members.groupBy("group").agg(F.count("*").alias("m"), F.min("doc_id").alias("leader"))
     homes = staged(members.join(busy, "group"), "jaccard-members")
     wanted = homes.select("doc_id").union(asks.select("doc_id")).distinct()
-    tokens = staged(texts.mapInArrow(_squeezed, "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(_tokens(k), "doc_id long, tokens binary"), "jaccard-tokens")
+    packed = staged(_texts_of(texts, staged(wanted, "jaccard-wanted")), "jaccard-texts")
     large = homes.where(F.col("m") > group)
-    leading = large.where("doc_id = leader").join(tokens, "doc_id").select("group", F.col("tokens").alias("leading"))
-    led = staged(large.join(tokens, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "tokens", "leading").mapInArrow(_led(percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led")
+    leading = large.where("doc_id = leader").join(packed, "doc_id").groupBy("group").agg(F.min("z").alias("leading"))
+    led = staged(large.join(packed, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "z", "leading").mapInArrow(_led(k, percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led")
     parts = F.ceil(F.col("m") / group).cast("long")
     own = homes.select("group", F.pmod(F.xxhash64("doc_id"), parts).alias("part"), "doc_id", F.lit(False).alias("query"))
     loose = led.where("not core").select("doc_id", "group").unionByName(asks)
     away = loose.join(busy, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id", F.lit(True).alias("query"))
-    rows = own.unionByName(away).join(tokens, "doc_id").select("group", "part", "doc_id", "query", "tokens")
-    opened = rows.repartition(shuffle_parts(texts.sparkSession), "group", "part").sortWithinPartitions("group", "part", "query").mapInArrow(_opened(percent), "a long, b long")
+    rows = own.unionByName(away).join(packed, "doc_id").select("group", "part", "doc_id", "query", "z")
+    opened = rows.repartition(shuffle_parts(texts.sparkSession), "group", "part").sortWithinPartitions("group", "part", "query").mapInArrow(_opened(k, percent), "a long, b long")
     return opened.unionByName(led.where("core and doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
