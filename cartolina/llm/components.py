@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 from cartolina.llm.common import staged
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _compressed(up: DataFrame) -> DataFrame:
+    """id, up: each id with the root of its tree. Links lead to smaller ids, so each jump halves all paths until none is left."""
+    while True:
+        over = up.select(F.col("id").alias("_id"), F.col("up").alias("_up"))
+        up = staged(up.join(over, up.up == over._id).select("id", F.col("_up").alias("up"), (F.col("_up") != F.col("up")).alias("moved")), "cc-up")
+        moved, up = up.where("moved").limit(1).count(), up.select("id", "up")
+        if not moved:
+            return up
+
+
+def components(edges: DataFrame) -> DataFrame:
     """id, component_id: for every id in a or b of edges the smallest id that its edges reach.
 
-    Each round every id takes the least label around it, then that label's own label, so that paths halve; each round's labels are
-    written to shared storage. Edges to itself and repeated edges do no harm; nulls are left out.
+    Each round every id hooks to its smallest neighbour if that is smaller, the trees are compressed to their roots, and the edges
+    between roots are the next round's. An id that stays alone is hooked in the round after, so that two rounds at least halve the ids
+    still in play: rounds are logarithmic whatever the ids' order, and end when no edge is left. Each round is written to shared
+    storage. Edges to itself and repeated edges do no harm; nulls are left out.
     """
     own = edges.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     both = staged(own.union(own.select("b", "a")).distinct(), "cc-edges")
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
-    for _ in range(rounds):
-        around = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(around, labels.id == around.a).select("id", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
-        moved = staged(step.join(jump, step.next == jump._id).select("id", F.least("next", "_label").alias("label"), (F.least("next", "_label") != F.col("label")).alias("moved")), "cc-labels")
-        labels = moved.select("id", "label")
-        if not moved.where("moved").limit(1).count():
-            return labels.withColumnRenamed("label", "component_id")
-    raise RuntimeError(f"labels still move after {rounds} rounds")
+    rounds = []
+    while not rounds or both.limit(1).count():
+        up = _compressed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("up")))
+        rounds.append(up)
+        a, b = (up.select(F.col("id").alias(c), F.col("up").alias(f"_{c}")) for c in "ab")
+        both = staged(both.join(a, "a").join(b, "b").where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "cc-edges")
+    told = rounds.pop()
+    while rounds:  # each round's roots take their own roots of the later rounds
+        top = told.select(F.col("id").alias("_id"), F.col("up").alias("_up"))
+        told = rounds.pop().join(top, F.col("up") == F.col("_id"), "left").select("id", F.coalesce("_up", "up").alias("up"))
+    return told.withColumnRenamed("up", "component_id")

@@ -132,6 +132,21 @@ def test_bound_never_turns_a_link_away():
             assert jaccard.prefix_size(a, 85) - (a - o) >= 1
 
 
+# Components
+
+
+def test_components_of_long_shuffled_chains(spark):
+    from cartolina.llm.components import components
+
+    r = random.Random(11)
+    ids = r.sample(range(10_000), 1001)
+    turned = [20_000, *range(20_099, 20_000, -1)]
+    edges = [*zip(ids, ids[1:], strict=False), *zip(turned, turned[1:], strict=False), (30_000, 30_000), (30_002, 30_001), (30_001, 30_002), (None, 5), (5, None)]
+    got = {x["id"]: x["component_id"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys(turned, 20_000) | {30_000: 30_000, 30_001: 30_001, 30_002: 30_001}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # Suffix dedup
 
 
