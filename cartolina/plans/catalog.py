@@ -50,13 +50,19 @@ def _names():
     return F.concat("p_name", F.lit("#"), F.col("p_size").cast("string"))
 
 
+def _known(value):
+    """The value of every third part, so that names resolve to it; the others' are renamed to ones that nothing refers to."""
+    return F.concat(value, F.when(F.col("p_partkey") % 3 == 0, "").otherwise("~"))
+
+
 def _symbols(spark, sf_dir):
-    part = _table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
-    return part.select(F.lit("r").alias("repo"), F.concat(F.lit("r:"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), _names().alias("name"), F.concat(F.lit("r:"), "p_brand").alias("module"), F.lit("e").alias("engine"), F.col("p_partkey").alias("seq"))
+    part = _table(spark, sf_dir, "part")
+    return part.select(F.lit("r").alias("repo"), F.concat(F.lit("r:"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), _known(_names()).alias("name"), F.concat(F.lit("r:"), "p_brand").alias("module"), F.lit("e").alias("engine"), F.col("p_partkey").alias("seq"))
 
 
 def ref_counts(spark, sf_dir):
-    symbols = _symbols(spark, sf_dir).withColumn("repo", F.col("module"))
+    # Declared as in the SQL twin: by every third part.
+    symbols = _symbols(spark, sf_dir).where("seq % 3 = 0").withColumn("repo", F.col("module"))
     part = _table(spark, sf_dir, "part")
     idents = part.groupBy(F.concat(F.lit("r:"), "p_brand").alias("repo"), _names().alias("name")).agg(F.count("*").alias("n")).withColumn("engine", F.lit("e"))
     return resolve.reference_counts(symbols, idents)
@@ -74,7 +80,8 @@ def _imports(spark, sf_dir):
     specs = lines.select(F.lit("r").alias("repo"), F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("from"), key.alias("spec")).distinct()
     # Two candidates a spec: the part itself, then the part 1 below.
     both = F.inline(F.array(F.struct(F.lit(0).alias("priority"), F.col("spec").alias("rel")), F.struct(F.lit(1).alias("priority"), (F.col("spec").cast("long") - 1).cast("string").alias("rel"))))
-    files = _table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.lit("r").alias("repo"), F.col("p_partkey").cast("string").alias("rel"), F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("module"))
+    rel = _known(F.col("p_partkey").cast("string"))
+    files = _table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), rel.alias("rel"), F.concat(F.lit("p:"), rel).alias("module"))
     return specs, specs.select("repo", "from", "spec", both), files
 
 
@@ -188,7 +195,7 @@ def brief_lists(spark, sf_dir):
 
 
 def admissions(spark, sf_dir):
-    events = _table(spark, sf_dir, "events").select(F.lit("gate").alias("gate"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("now_ms"), F.lit("start").alias("event")).where("seq % 10 = 0")
+    events = _table(spark, sf_dir, "events").select(F.lit("gate").alias("gate"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("now_ms"), F.lit("start").alias("event"))
     return admission.admissions(events.withColumn("gate", F.concat(F.lit("g"), (F.col("seq") % 40).cast("string"))), most_active=1_000_000, most_starts=3, window_ms=3_600_000)
 
 
@@ -207,8 +214,7 @@ def _nation(spark, sf_dir):
 
 def community_layout(spark, sf_dir):
     nodes, edges = _nation(spark, sf_dir)
-    few = nodes.where("repo in ('n1', 'n2')")
-    return layout.placed(few.withColumns({"radius": F.lit(12.0), "ax": F.lit(None).cast("double"), "ay": F.lit(None).cast("double")}), edges.where("repo in ('n1', 'n2')"))
+    return layout.placed(nodes.withColumns({"radius": F.lit(12.0), "ax": F.lit(None).cast("double"), "ay": F.lit(None).cast("double")}), edges)
 
 
 QUERIES = {f.__name__: f for f in (graph_adjacency, graph_hubs, graph_coupling, ref_counts, resolved_calls, import_edges, dangling_imports, line_counts, language_lists, find_symbol, module_info, frames_asof, parsed_traces, graph_reach, best_anchors, eviction, fingerprints, statuses, cache_bytes, url_predicates, brief_tokens, brief_lists, admissions, communities, community_layout)}
