@@ -89,15 +89,32 @@ def _votes(docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str
 
 
 def _spans(votes: DataFrame, slack: int, cover: float) -> DataFrame:
-    """Merged and verified; a phrase's diagonals don't merge, and each must have all its votes."""
-    phrase = F.col("k") == PHRASE_K
+    """Merged and verified. A diagonal with all its notice's votes is a copy of its own and merges with no other; a phrase's must have all.
+
+    Other neighbouring diagonals merge as long as their span isn't stretched: beyond that the next span begins, so that copies in a row stay apart.
+    """
+    phrase, whole = F.col("k") == PHRASE_K, (F.col("k") == PHRASE_K) | (F.size("at") == F.col("grams"))
     along = Window.partitionBy("doc_id", "text_hash", "label", "k").orderBy("diagonal")
-    apart = F.coalesce((phrase | (F.col("diagonal") - F.lag("diagonal").over(along) > slack)).cast("int"), F.lit(0))
+    apart = F.coalesce((whole | F.lag(whole).over(along) | (F.col("diagonal") - F.lag("diagonal").over(along) > slack)).cast("int"), F.lit(0))
     runs = votes.withColumn("apart", apart).withColumn("run", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "text_hash", "label", "k", "grams", "run").agg(F.min("lo").cast("long").alias("first_word"), (F.max("hi") + F.first("k") - 1).cast("long").alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"))
-    spans = spans.withColumn("cover", F.col("votes") / F.col("grams"))
-    fits = (F.col("cover") >= cover) & (F.col("last_word") - F.col("first_word") + 1 <= STRETCH * (F.col("grams") + K - 1) + slack)
-    return spans.where(F.when(phrase, F.col("votes") == F.col("grams")).otherwise(fits)).select("doc_id", "text_hash", "label", phrase.alias("phrase"), "first_word", "last_word", "votes", "cover")
+    held = runs.groupBy("doc_id", "text_hash", "label", "k", "grams", "run").agg(F.array_sort(F.collect_list(F.struct("diagonal", "lo", "hi", "at"))).alias("parts"))
+    longest = STRETCH * (F.col("grams") + K - 1) + slack
+
+    def ended(x: Column) -> Column:
+        enough = F.when(phrase, F.size(x["at"]) == F.col("grams")).otherwise(F.size(x["at"]) / F.col("grams") >= cover)
+        span = F.struct(x["lo"].cast("long").alias("first_word"), (x["hi"] + F.col("k") - 1).cast("long").alias("last_word"), F.size(x["at"]).alias("votes"))
+        return F.when(x["lo"].isNotNull() & enough, F.concat(x["done"], F.array(span))).otherwise(x["done"])
+
+    def merged(x: Column, y: Column) -> Column:
+        lo, hi = F.least(x["lo"], y["lo"]), F.greatest(x["hi"], y["hi"])
+        both = F.struct(lo.alias("lo"), hi.alias("hi"), F.array_union(x["at"], y["at"]).alias("at"), x["done"].alias("done"))
+        new = F.struct(y["lo"].alias("lo"), y["hi"].alias("hi"), y["at"].alias("at"), ended(x).alias("done"))
+        return F.when(x["lo"].isNotNull() & (hi - lo + F.col("k") <= longest), both).otherwise(new)
+
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("lo"), none.alias("hi"), F.array().cast("array<int>").alias("at"), F.array().cast("array<struct<first_word:bigint,last_word:bigint,votes:int>>").alias("done"))
+    spans = held.select("doc_id", "text_hash", "label", phrase.alias("phrase"), "grams", F.inline(F.aggregate("parts", start, merged, ended)))
+    return spans.select("doc_id", "text_hash", "label", "phrase", "first_word", "last_word", "votes", (F.col("votes") / F.col("grams")).alias("cover"))
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, slack: int = SLACK, cover: float = COVER) -> DataFrame:

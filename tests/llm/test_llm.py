@@ -322,6 +322,17 @@ def test_license_scan(spark):
     assert span["first_word"] == 2 and span["cover"] == 1.0
 
 
+def test_notices_in_a_row(spark):
+    texts = ["All rights reserved. " * 5, "// SPDX-License-Identifier: MIT\n" * 4, "Licensed under the " * 300, "All rights reserved", "a b c d e f x y " * 6 + "a b c d e f g h i j"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.license_scan(docs.where("doc_id < 4")).collect()}
+    assert got == {0: ("rights-reserved", 1.0), 1: ("spdx", 1.0), 2: ("licensed-under", 1.0), 3: ("rights-reserved", 1.0)}
+    spans = license_scan.license_spans(docs, templates=license_scan.TEMPLATES | {"own": "a b c d e f g h i j"}).orderBy("doc_id", "first_word").collect()
+    at = lambda i: [(r["first_word"], r["last_word"]) for r in spans if r["doc_id"] == i]
+    assert at(0) == [(3 * i, 3 * i + 2) for i in range(5)] and at(1) == [(4 * i, 4 * i + 2) for i in range(4)] and len(at(2)) == 300
+    assert at(4)[-1] == (48, 57) and at(4)[0][0] == 0 and at(4)[-2][1] == 45
+
+
 # Language ID and toxicity
 
 TONGUES = {"aa": "bcdf", "bb": "ghjk"}
