@@ -37,7 +37,7 @@ _MORE = {
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)[=:]\x20?[^\s,;]{6,200})"),
+    "secret": re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)[=:]\x20?[^\s,;]{6,}+)"),
 }
 #: Words that stand before such data.
 CUES = {

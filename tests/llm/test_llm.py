@@ -215,6 +215,13 @@ def test_long_runs_are_linear():
         pii.base_spans(t)
 
 
+def test_secrets_are_whole():
+    for n in (6, 200, 201, 5000):
+        t = f"see token={'a.B-9' * 1000}"[: 10 + n] + "; more"
+        assert pii.candidates(t, []) == [(4, 10 + n, "secret")]
+    pii.candidates("token=" * 50_000, [])
+
+
 def test_votes_add_spans_and_keep_base_ones(spark):
     rows = [(i, f"write mail to a{i}@mail.example.com or call {200 + i}-555-{1000 + i}, key AKIA{'ABCDEFGH' * 2}") for i in range(60)] + [(60, None), (61, "")]
     got = {r["doc_id"]: [(s["kind"], s["base"]) for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
