@@ -19,6 +19,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("target")
     p.add_argument("--out", default="map")
     p.add_argument("--ignore", action="append", default=[])
+    p.add_argument("--depth", type=int)
+    p.add_argument("--max-scan", type=int, default=tree.SCAN_MOST)
     p.add_argument("--budget", type=int, default=tools.BRIEF_TOKENS)
     p.add_argument("--trace")
     p.add_argument("--symbol")
@@ -27,11 +29,13 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     if a.budget <= 0:
         p.error("--budget must be a positive number of tokens")
+    if a.max_scan <= 0 or (a.depth is not None and a.depth <= 0):
+        p.error("--depth and --max-scan must be positive numbers of folders")
     spark = SparkSession.builder.appName("cartolina").getOrCreate()
     if a.command in ("extract", "check"):
-        repos, cut = tree.find_repos(a.target)
+        repos, cut = tree.find_repos(a.target, a.depth, a.max_scan)
         repos, exclude, notes = tree.with_submodules(repos)
-        for note in notes + ["the search for repositories was cut"] * cut:
+        for note in notes + ["the search for repositories was cut: more --depth or --max-scan searches further"] * cut:
             print(note, file=sys.stderr)
         if a.command == "check" or a.if_stale:
             told = extract.check(spark, a.out, repos, a.ignore).orderBy("repo").collect()

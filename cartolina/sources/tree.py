@@ -95,11 +95,11 @@ def read_tree(spark: SparkSession, repos: dict[str, str], ignore: list[str] | No
     return reader.option("ignore", os.pathsep.join(ignore or [])).option("exclude", os.pathsep.join(exclude or [])).load()
 
 
-def find_repos(root: str, depth: int = 12, most: int = SCAN_MOST) -> tuple[dict[str, str], bool]:
-    """Names and folders of the repositories below root, and whether the search was cut: root itself if it is one, else those found, else its folders."""
+def find_repos(root: str, depth: int | None = None, most: int = SCAN_MOST) -> tuple[dict[str, str], bool]:
+    """Names and folders of the repositories below root, at any depth if depth is None, and whether the search was cut, by depth or by the number of folders: root itself if it is one, else those found, else its folders."""
     if os.path.exists(os.path.join(root, ".git")):
         return {os.path.basename(os.path.abspath(root)): root}, False
-    found, seen, queue = {}, 0, [(root, 0)]
+    found, seen, queue, deeper = {}, 0, [(root, 0)], False
     while queue and seen < most:
         folder, level = queue.pop(0)
         seen += 1
@@ -108,10 +108,12 @@ def find_repos(root: str, depth: int = 12, most: int = SCAN_MOST) -> tuple[dict[
                 continue
             if os.path.exists(os.path.join(entry.path, ".git")):
                 found[os.path.relpath(entry.path, root)] = entry.path
-            elif level + 1 < depth:
+            elif depth is None or level + 1 < depth:
                 queue.append((entry.path, level + 1))
+            else:
+                deeper = True
     plain = {e.name: e.path for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir() and not skips(e.name)}
-    return found or plain, bool(queue)
+    return found or plain, bool(queue) or deeper
 
 
 def submodules(repo: str) -> list[str]:

@@ -108,6 +108,22 @@ def test_discovery(tmp_path):
     assert set(tree.find_repos(str(tmp_path / "plain"))[0]) == set()
 
 
+def test_repositories_at_any_depth(spark, tmp_path, monkeypatch):
+    from cartolina import cli
+
+    deep = os.path.join(*"abcdefghijklmnop")
+    os.makedirs(tmp_path / deep / ".git")
+    assert tree.find_repos(str(tmp_path)) == ({deep: str(tmp_path / deep)}, False)
+    assert tree.find_repos(str(tmp_path), depth=12)[1] and tree.find_repos(str(tmp_path), most=3)[1]
+    asked = []
+    monkeypatch.setattr(tree, "find_repos", lambda *args: asked.append(args) or ({}, False))
+    monkeypatch.setattr(cli.extract, "check", lambda *args: (_ for _ in ()).throw(SystemExit))
+    for options in ([], ["--depth", "3", "--max-scan", "70000"]):
+        with pytest.raises(SystemExit):
+            cli.main(["check", str(tmp_path), *options])
+    assert asked == [(str(tmp_path), None, tree.SCAN_MOST), (str(tmp_path), 3, 70_000)]
+
+
 def _names(rel, text):
     return {(n, k, e) for n, k, _, e, _ in parse(rel, text).symbols}
 
