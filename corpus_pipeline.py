@@ -6,7 +6,7 @@ to shared storage and reads them again. All but the last return the columns of d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolina.llm import bpe, common, language_id
@@ -22,23 +22,49 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.accepted(docs, models)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a hash of all columns: ids may be null or repeat with another text. Only rows that are equal throughout share it (others by chance, one pair in 2 ** 64)."""
+    return docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+
+
+def _one_each(keyed: DataFrame) -> DataFrame:
+    """One of each set of equal rows."""
+    return keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_nth = 1").drop("_nth")
+
+
+def _best(docs: DataFrame, keyed: DataFrame, told: DataFrame, best: Column) -> DataFrame:
+    """Of each group in told (_row, group) the row whose best, a struct that ends in _row, is chosen."""
+    rows = keyed.select("_row", "doc_id").distinct().join(told.distinct(), "_row")
+    kept = rows.groupBy("group").agg(best.alias("best")).select(F.col("best._row").alias("_row"))
+    return _one_each(keyed.join(kept, "_row", "left_semi")).select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, up to the case of A-Z, the row with the largest id stays."""
-    return docs.join(exact_dedup(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """Of equal texts, up to the case of A-Z, one row stays: one with the largest id, with a null id only if no other has the text.
+
+    Each row is judged by its own text, also where ids are null or repeat.
+    """
+    keyed = _keyed(docs)
+    told = exact_dedup(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), F.unhex("text_sha256").alias("group"))
+    return _best(docs, keyed, told, F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "_row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with similar five-word shingles (at least 0.8) the smallest id stays."""
-    told = jaccard_components(docs, k=5, percent=80)
-    return docs.join(told.where("component_id = doc_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """Of each component of texts with similar five-word shingles (at least 0.8) one row stays: one with the smallest id, with a null id only if no other is in it.
+
+    Each row is judged by its own text, also where ids are null or repeat. Of equal rows one stays.
+    """
+    keyed = _keyed(docs)
+    told = jaccard_components(keyed, id_col="_row", k=5, percent=80).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    return _best(docs, keyed, told, F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole time: not at all, once or twice."""
-    told = mix(docs).documents().where("size > 0 and doc_id is not null")
-    times = told.groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0")
+    """Each row as often as the mix takes it, to the nearest whole time: not at all, once or twice. Null and repeated ids do no harm."""
+    keyed = _keyed(docs)
+    told = mix(keyed, id_col="_row").documents().where("size > 0").select(F.col("doc_id").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
     again = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return docs.join(times, "doc_id").withColumn("_again", again).select(*docs.columns)
+    return _one_each(keyed).join(told, "_row").withColumn("_again", again).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

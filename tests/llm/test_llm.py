@@ -412,3 +412,19 @@ def test_pipeline(spark, docs, texts, tmp_path, vocabulary):
             assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         held = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == held.count()
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    made = [" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    rows = [(None, made[0]), (None, made[1]), (None, made[1]), (1, made[1].upper()), (2, made[2]), (2, made[3]), (2, made[2]), (3, made[3]), (None, made[4]), (None, made[4]), (5, made[5]), (5, made[6])]
+    of = lambda rows: spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda frame: sorted(((x["doc_id"], x["text"]) for x in frame.select("doc_id", "text").collect()), key=str)
+    kept = [(None, made[0]), (1, made[1].upper()), (2, made[2]), (3, made[3]), (None, made[4]), (5, made[5]), (5, made[6])]
+    assert got(corpus_pipeline.drop_copies(spark, of(rows), "")) == sorted(kept, key=str)
+    near = [(4, made[6] + " more"), (None, made[0] + " more"), (9, made[3] + " more"), (0, made[5] + " more")]
+    left = [(None, (made[0], made[0] + " more")), *((i, (t,)) for i, t in kept[1:5]), (4, (made[6] + " more",)), (0, (made[5] + " more",))]
+    after = got(corpus_pipeline.drop_near_copies(spark, of(kept + near + kept[:1]), ""))
+    assert len(after) == len(left) and all(any(i == j and t in ts for j, ts in left) for i, t in after)
+    mixed = collections.Counter(got(corpus_pipeline.mix_sources(spark, of(kept), "")))
+    assert sum(mixed.values()) >= len(kept) and any(i is None for i, _ in mixed)
