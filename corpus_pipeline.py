@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolina.llm import bpe, common, language_id
+from cartolina.llm.common import SPACES, WORD
 from cartolina.llm.exact_dedup import exact_dedup
 from cartolina.llm.jaccard import jaccard_components
 from cartolina.llm.mixing import mix
@@ -60,11 +61,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, to the nearest whole time: not at all, once or twice. Null and repeated ids do no harm."""
+    """The words that the mix takes of each row: its text as often as it is taken whole, and its first words where the target cuts it.
+
+    Each source has its target's words to the word. A cut text ends with its last word taken, and n_chars is its length. Null and
+    repeated ids do no harm.
+    """
     keyed = _keyed(docs)
-    told = mix(keyed, id_col="_row").documents().where("size > 0").select(F.col("doc_id").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
-    again = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return _one_each(keyed).join(told, "_row").withColumn("_again", again).select(*docs.columns)
+    told = mix(keyed, id_col="_row").documents().where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "taken")
+    both = _one_each(keyed).join(told, "_row")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    parts = F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
+    both = both.withColumn("_cut", parts)
+    words = F.regexp_extract_all("text", F.lit(f"{SPACES}*{WORD}"), F.lit(0))
+    text = F.when(F.col("_cut") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_cut"), F.lit(1))), "")).otherwise(F.col("text"))
+    both = both.withColumn("text", text)
+    n_chars = F.when(F.col("_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return both.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

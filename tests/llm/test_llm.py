@@ -428,3 +428,18 @@ def test_pipeline_keeps_null_and_repeated_ids(spark):
     assert len(after) == len(left) and all(any(i == j and t in ts for j, ts in left) for i, t in after)
     mixed = collections.Counter(got(corpus_pipeline.mix_sources(spark, of(kept), "")))
     assert sum(mixed.values()) >= len(kept) and any(i is None for i, _ in mixed)
+
+
+def test_pipeline_mix_meets_targets(spark):
+    r = random.Random(9)
+    rows = [(i, f" {prose(r.randint(1, 60))}\t{WORDS[i]}\n", "en", "a", 0) for i in range(40)] + [(50, prose(3000), "en", "b", 0), (None, prose(1500), "en", "c", 0)]
+    docs = spark.createDataFrame([(i, t, x, s, len(t)) for i, t, x, s, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = collections.Counter()
+    for _, t, _, source, _ in rows:
+        sizes[source] += len(words(t))
+    want = {s: int(n) for s, n in zip("abc", mixing.targets([sizes[s] for s in "abc"], [5, 2, 1]), strict=True)}
+    out, total, whole = corpus_pipeline.mix_sources(spark, docs, "").collect(), collections.Counter(), {(i, s): t for i, t, _, s, _ in rows}
+    for x in out:
+        total[x["source"]] += len(words(x["text"]))
+        assert whole[(x["doc_id"], x["source"])].startswith(x["text"]) and x["n_chars"] == len(x["text"])
+    assert total == want and sum(x["text"] != whole[(x["doc_id"], x["source"])] for x in out) <= 3
