@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartolina.llm.words import chunks
+from cartolina.llm.words import chunks, kept
 
 _FOREVER = 1 << 60
 
@@ -167,7 +167,7 @@ class Codec:
 
     LONGEST = 64
 
-    def __init__(self, data: bytes, limit: int = 250_000):
+    def __init__(self, data: bytes, limit: int = 100_000):
         told = json.loads(data)
         model = told["model"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -248,7 +248,8 @@ class Codec:
         return " ".join(self.names[i] for (i,) in struct.iter_unpack("<I", ids))
 
 
-_KEPT: dict[int, Codec] = {}
+#: Characters that one step encodes and gives out; a longer text is a step of its own.
+CHUNK = 1 << 20
 
 _OUT = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -263,14 +264,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(held.value)
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = Codec(held.value)
-        codec = _KEPT[key]
+        codec = kept(("bpe", hash(held.value)), lambda: Codec(held.value))
         for b in batches:
-            for ids, texts in chunks(b, 1 << 21):
+            for ids, texts in chunks(b, CHUNK):
                 got = codec.encode(texts)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([t for _, t in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                columns = [
+                    pa.array(ids, pa.int64()),
+                    pa.array([len(i) // 4 for i, _ in got], pa.int64()),
+                    pa.array([i for i, _ in got], pa.binary()),
+                    pa.array([t for _, t in got], pa.string()),
+                ]
+                yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(coded, _OUT)

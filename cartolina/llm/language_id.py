@@ -4,14 +4,17 @@ A text's letters, lower-cased and cut at white space, are scored word by word: e
 given up to four letters before it in the word. What a language's model needs of an n-gram (its discounted
 probability, and the weight of shorter contexts after it) stands in arrays sorted by the n-gram's hash,
 one array an order, with a column for each language. A text goes to the language with the lowest cross-entropy a
-letter; it is rejected if that is above a threshold calibrated on documents kept out of the fit.
+letter. It is rejected if that is above the language's threshold, which is calibrated on documents kept out of the fit
+and on the same documents with the letters of each word shuffled: it lies between the quantile CLEAN of the former and the
+quantile 1 - CLEAN of the latter.
 """
 
 from __future__ import annotations
 
+import random
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,13 @@ DISCOUNT = 0.75
 #: Documents of each language that the models are fitted on, about; a fifth of them calibrate rejection.
 SAMPLE = 400
 UNKNOWN = "und"
+#: The share of a language's calibration documents that its threshold accepts, and the share of their shuffled twins that it rejects.
+CLEAN = 0.99
+#: How far towards the shuffled twins the threshold lies between these two quantiles.
+TOWARDS = 0.6
+
+#: Tokens whose scores a worker keeps in each of two generations.
+TOKENS = 100_000
 
 _START, _END = 1, 2
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -59,16 +69,22 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
 
 
 class Models:
-    """languages; for each order the sorted hashes and, by language, probability and context weight; thresholds."""
+    """languages; for each order the sorted hashes and, by language, probability and context weight; thresholds.
+
+    A symbol is a letter of the alphabet (all languages' letters), a word's end, or any unseen letter, which counts as one symbol.
+    What the discounts take from single symbols goes in equal parts to all symbols, so that every context's probabilities add up to 1.
+    """
 
     def __init__(self, counted: dict[str, Counter]):
         self.languages = sorted(counted)
         parts: list[list] = [[] for _ in range(ORDER)]
-        alphabet = {c for words in counted.values() for w in words for c in w}
-        self.least = 1.0 / (len(alphabet) + 2)
+        self.alphabet = sorted({c for words in counted.values() for w in words for c in w})
+        left = np.zeros(len(self.languages))
         for k, name in enumerate(self.languages):
-            for n, part in enumerate(self._fit(counted[name])):
+            left[k], fitted = self._fit(counted[name])
+            for n, part in enumerate(fitted):
                 parts[n].append((k, *part))
+        self.least = left / (len(self.alphabet) + 2)
         self.hashes, self.values = [], []
         for n in range(ORDER):
             every = np.unique(np.concatenate([p[1] for p in parts[n]] or [np.zeros(0, np.uint64)]))
@@ -82,8 +98,8 @@ class Models:
         self.thresholds = np.full(len(self.languages), np.inf)
 
     @staticmethod
-    def _fit(words: Counter) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order: hashes of its n-grams, discounted probability given what precedes, weight as a context."""
+    def _fit(words: Counter) -> tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """What the discounts leave of single symbols; for each order hashes of its n-grams, discounted probability given what precedes, weight as a context."""
         listed = list(words)
         codes, place = _spelled(listed)
         times = np.repeat(np.fromiter(words.values(), np.float64, len(listed)), [len(w) + 2 for w in listed])
@@ -100,12 +116,13 @@ class Models:
             tail = np.searchsorted(h, hashes[n][longer[2]])
             before = np.bincount(tail, minlength=len(h)).astype(np.float64)
             grams[n][1] = np.where(place[where] == n, count, before) if n else before
-        out, weight = [], None
-        total = grams[0][1].sum()
+        out: list = []
+        total = max(grams[0][1].sum(), 1)
+        left = DISCOUNT * (grams[0][1] > 0).sum() / total
         for n in range(ORDER):
             h, count, where = grams[n]
             if n == 0:
-                p = np.maximum(count - DISCOUNT, 0) / max(total, 1)
+                p = np.maximum(count - DISCOUNT, 0) / total
             else:
                 context = np.searchsorted(grams[n - 1][0], hashes[n - 1][where - 1])
                 mass = np.bincount(context, count, len(grams[n - 1][0]))
@@ -113,16 +130,11 @@ class Models:
                 p = np.maximum(count - DISCOUNT, 0) / mass[context]
                 out[-1][2][:] = np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1e-9), 1.0)
             out.append((h, p, np.ones(len(h))))
-        return out
+        return left, out
 
-    def scores(self, tokens: list[str]) -> np.ndarray:
-        """For each token, by language, the log probability of its letters and end; last, how many they are."""
-        words = [letters(t) for t in tokens]
-        out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        full = [i for i, w in enumerate(words) if w]
-        if not full:
-            return out
-        codes, place = _spelled([words[i] for i in full])
+    def logs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of every symbol of the words, by language (0 for the mark before a word); each symbol's place in its word."""
+        codes, place = _spelled(words)
         hashes = _hashes(codes)
         rows = []
         for n in range(ORDER):
@@ -130,16 +142,26 @@ class Models:
             at[at == len(self.hashes[n])] = 0
             missing = (self.hashes[n][at] != hashes[n]) if len(self.hashes[n]) else np.ones(len(at), bool)
             rows.append(np.where(missing | (place < n), len(self.hashes[n]), at))
-        p = self.values[0][rows[0], 0] + DISCOUNT * self.least
+        p = self.values[0][rows[0], 0] + self.least
         for n in range(1, ORDER):
             before = np.concatenate([[0], rows[n - 1][:-1]])
             deeper = self.values[n][rows[n], 0] + self.values[n - 1][before, 1] * p
             p = np.where((place >= n)[:, None], deeper, p)
         log = np.log(np.maximum(p, 1e-12))
         log[place == 0] = 0
+        return log, place
+
+    def scores(self, tokens: list[str]) -> np.ndarray:
+        """For each token, by language, the log probability of its letters and end; last, how many they are."""
+        words = [letters(t) for t in tokens]
+        out = np.zeros((len(words), len(self.languages) + 1), np.float32)
+        full = [i for i, w in enumerate(words) if w]
+        if not full:
+            return out
+        log, place = self.logs([words[i] for i in full])
         starts = np.flatnonzero(place == 0)
         out[full, :-1] = np.add.reduceat(log, starts, axis=0)
-        out[full, -1] = np.diff(np.append(starts, len(codes))) - 1
+        out[full, -1] = np.diff(np.append(starts, len(place))) - 1
         return out
 
     def entropies(self, table: TokenTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,13 +188,24 @@ def fit(rows: list[tuple[str, str]]) -> Models:
     models = Models({k: v for k, v in counted.items() if v})
     table = TokenTable(models.scores)
     for k, lang in enumerate(models.languages):
-        h, n = models.entropies(table, apart[lang])
-        own = h[n > 0, k]
-        if len(own):
-            models.thresholds[k] = max(own.max(), own.mean() + 6 * own.std()) + 1.0
+        clean, odd = (_own(models, table, texts, k) for texts in (apart[lang], map(shuffled, apart[lang])))
+        if len(clean):
+            low, high = np.quantile(clean, CLEAN), np.quantile(odd, 1 - CLEAN)
+            models.thresholds[k] = low + TOWARDS * max(high - low, 0.0)
     return models
 
 
+def _own(models: Models, table: TokenTable, texts: Iterable[str], k: int) -> np.ndarray:
+    h, n = models.entropies(table, list(texts))
+    return h[n > 0, k]
+
+
+def shuffled(text: str) -> str:
+    """The text with each word's letters in an order drawn by a generator that starts alike for every text."""
+    drawn = random.Random(len(text))
+    return " ".join("".join(drawn.sample(w, len(w))) for w in text.split())
+
+
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Models:
     """Models from about `sample` documents of each language, taken by a hash of the id, among those that learn holds for."""
     own = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
@@ -198,7 +231,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        table = kept(token, m.scores)
+        table = kept(token, lambda: TokenTable(m.scores, TOKENS))
         for b in batches:
             for ids, texts in chunks(b):
                 if not m.languages:
@@ -225,7 +258,7 @@ def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        table = kept(token, m.scores)
+        table = kept(token, lambda: TokenTable(m.scores, TOKENS))
         for b in batches:
             mask: list[bool] = []
             for _, texts in chunks(pa.record_batch([pa.nulls(b.num_rows, pa.int64()), b.column(at).cast(pa.string())], names=["doc_id", "text"])):

@@ -62,17 +62,26 @@ class TokenTable:
         return table, found
 
 
-_KEPT: dict[object, TokenTable] = {}
+_KEPT: dict[object, object] = {}
 
 
-def kept(key: object, compute: Callable[[list[str]], np.ndarray], limit: int = 200_000) -> TokenTable:
-    """This worker's table for a model, which the worker's later tasks find filled; a new model's drops the last."""
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make gives for a model's key, held by this worker process so that its later tasks find it filled.
+
+    A worker holds one model at a time, of whatever operator: another key drops the last one first.
+    """
     if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = TokenTable(compute, limit)
+        forget()
+        _KEPT[key] = make()
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drops the model that this worker process holds; operators without a model of their own call it as their tasks begin."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def sums(table: np.ndarray, rows: np.ndarray, counts: list[int]) -> np.ndarray:
     """For each text, the sum of its tokens' rows; counts: tokens by text."""
     out = np.zeros((len(counts), table.shape[1]))
