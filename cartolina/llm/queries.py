@@ -51,7 +51,7 @@ def _of_kind(spans, kind: str):
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken")
+    return mix(common.documents(spark, sf_dir)).documents().select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
