@@ -1,13 +1,16 @@
 """Personal data by weak supervision.
 
-Labelers of three sorts vote on every candidate span: regular expressions and checksums, gazetteers, and the words around it. How often each
-combination of votes and features occurs is counted over all documents; from these counts, a bounded table, expectation-maximisation
-estimates how reliable each labeler is and how likely each candidate is personal data, and a logistic span classifier
-is trained on those likelihoods. Candidates that the classifier accepts join the base spans, which always stay.
+Candidates are found broadly: anything that looks like a value of a kind by its shape, or stands where a value would. Labelers of three
+sorts vote on each: regular expressions and checksums, gazetteers, and the context (words before, an assignment, marks around).
+How often each combination of votes and features occurs is counted over all documents; from these counts, a bounded
+table, expectation-maximisation estimates how reliable each labeler is and how likely each candidate is personal data, and a
+logistic span classifier with features of the span and of its context is trained on those likelihoods. Candidates that the
+classifier accepts join the base spans, which always stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -33,13 +36,19 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_MORE = {
-    "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "local_phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])"),
-    "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)[=:]\x20?[^\s,;]{6,}+)"),
+#: Broad shapes of candidates; what they find is up to the votes and the classifier. All take linear time.
+_BROAD = {
+    "national_id": re.compile(r"(?<![0-9A-Za-z.-])[0-9]{2,4}+(?:[\x20-][0-9]{2,4}+){2}(?![0-9A-Za-z-])"),
+    "local_phone": re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}+\)\x20?|[0-9]{3,5}+[./\x20-])[0-9]{2,4}+(?:[.\x20-][0-9]{2,5}+){0,2}(?![0-9A-Za-z])"),
+    "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
 }
-#: Words that stand before such data.
+_RUN = re.compile(r"[A-Za-z0-9_+/.-]{16,}+={0,2}")
+#: A value that is assigned: a name, = or :, spaces, an opening quote or none, and the value as far as it goes.
+_ASSIGNED = re.compile(r"(?<![0-9A-Za-z_])([A-Za-z_][0-9A-Za-z_-]{1,40}+)[\"']?\x20{0,3}[=:]\x20{0,3}(?:\"([^\"\r\n]{6,}+)|'([^'\r\n]{6,}+)|([^\s,;\"']{6,}+))")
+_NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_LOCAL_PHONE = re.compile(r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}")
+_KEY = re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[^0-9]*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_+/.-]{20,}={0,2}")
+#: Words that stand before such data, or name it in an assignment.
 CUES = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
@@ -48,15 +57,15 @@ CUES = {
     "national_id": ("ssn", "social", "security", "id"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank"),
-    "secret": ("key", "login", "credential", "secret"),
+    "secret": ("key", "login", "credential", "secret", "token", "passw", "auth", "bearer"),
 }
 GAZETTEER = {
     "email": ("gmail", "yahoo", "outlook", "hotmail", "mail", "example"),
     "iban": ("DE", "FR", "ES", "IT", "NL", "GB", "AT", "BE", "CH", "PT"),
-    "secret": ("AKIA", "password", "passwd", "secret", "token", "api_key"),
+    "secret": ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key"),
     "phone": ("+1", "+33", "+34", "+44", "+49", "+39", "+31"),
 }
-LABELERS = ("pattern", "checksum", "gazetteer", "context", "table")
+LABELERS = ("pattern", "checksum", "gazetteer", "context", "assigned", "table")
 BEFORE = 30
 
 
@@ -99,47 +108,112 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans of the kinds that the method adds, apart from the base spans and from each other."""
+    """Spans of the kinds that the method adds, apart from the base spans and from each other: the first that begins, of these the longest, then one of strict form."""
     found = []
     if _DIGIT.search(text):
-        for kind in ("national_id", "local_phone", "iban"):
-            found += [(*m.span(), kind) for m in _MORE[kind].finditer(text)]
-    if "AKIA" in text or "=" in text or ":" in text:
-        found += [(*m.span(), "secret") for m in _MORE["secret"].finditer(text)]
-    out, taken = [], [(s, e) for s, e, _ in base]
-    for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1])):
-        if all(e <= a or s >= b for a, b in taken):
+        for kind, shape in _BROAD.items():
+            found += [(*m.span(), kind) for m in shape.finditer(text)]
+    if _DIGIT.search(text) or "AKIA" in text:
+        found += [(*m.span(), "secret") for m in _RUN.finditer(text) if _DIGIT.search(m[0]) or m[0].startswith("AKIA")]
+    if "=" in text or ":" in text:
+        found += [(*m.span(m.lastindex), "secret") for m in _ASSIGNED.finditer(text)]
+    starts = [s for s, _, _ in base]
+    ends: list[int] = []  # how far the base spans up to each one reach
+    for _, e, _ in base:
+        ends.append(max(e, ends[-1]) if ends else e)
+    out, at = [], 0
+    for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1], -_pattern(x[2], text[x[0] : x[1]]), KINDS.index(x[2]))):
+        before = bisect.bisect_left(starts, e)
+        if s >= at and not (before and ends[before - 1] > s):
             out.append((s, e, kind))
-            taken.append((s, e))
+            at = e
     return out
 
 
+def _named(text: str, start: int) -> str:
+    """The name that a value at start is assigned to, in small letters, or nothing."""
+    left = text[max(0, start - 48) : start].rstrip("\"'").rstrip(" ")
+    if not left or left[-1] not in "=:":
+        return ""
+    left = left[:-1].rstrip(" ").rstrip("\"'")
+    at = len(left)
+    while at and (left[at - 1].isalnum() or left[at - 1] in "_-"):
+        at -= 1
+    return left[at:].lower()
+
+
+def _pattern(kind: str, span: str) -> int:
+    """Whether the span has the strict form of its kind."""
+    if kind in BASE:
+        return 1
+    if kind == "national_id":
+        return int(bool(_NATIONAL.fullmatch(span)))
+    if kind == "local_phone":
+        return int(bool(_LOCAL_PHONE.fullmatch(span)))
+    if kind == "iban":
+        return int(15 <= len(span.replace(" ", "")) <= 34)
+    return int(bool(_KEY.fullmatch(span)))
+
+
+def _checked(kind: str, span: str) -> int:
+    """A checksum's or a range's vote: 1, 0, or -1 where the kind has none."""
+    if kind in ("ip", "card"):
+        return 1
+    if kind == "iban":
+        return int(_iban_ok(span))
+    if kind == "national_id":
+        groups = re.split("[ -]", span)
+        return int([len(g) for g in groups] == [3, 2, 4] and groups[0] not in ("000", "666") and groups[0][0] != "9" and groups[1] != "00" and groups[2] != "0000")
+    return -1
+
+
 def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     """Each labeler's vote: 1 for personal data, 0 against, -1 none."""
-    span, before = text[start:end], text[max(0, start - BEFORE) : start].lower()
-    digits = [c for c in span if c in "0123456789"]
-    checks = {"card": lambda: True, "ip": lambda: True, "iban": lambda: _iban_ok(span), "national_id": lambda: span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00"}
-    names = GAZETTEER.get(kind)
+    span, name, names = text[start:end], _named(text, start), GAZETTEER.get(kind)
+    before = text[max(0, start - BEFORE) : start].lower()
     edges = text[max(0, start - 2) : start] + text[end : end + 2]
+    if kind == "secret":
+        known = int(any(n in name for n in names) or span.startswith("AKIA"))
+    else:
+        known = int(any(n in span for n in names)) if names else -1
     return (
-        int(kind in BASE or kind == "secret" or len(set(digits)) > 3),
-        int(checks[kind]()) if kind in checks else -1,
-        int(any(n in span for n in names)) if names else -1,
-        1 if any(c in before for c in CUES[kind]) else -1,
+        _pattern(kind, span),
+        _checked(kind, span),
+        known,
+        1 if any(c in before for c in CUES[kind]) else 0 if kind in MORE else -1,
+        1 if any(c in name for c in CUES[kind]) else 0 if name else -1,
         0 if any(c in edges for c in "|$€£%") else -1,
     )
 
 
 def features(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
-    """The kind, and how much of the span is digits, capitals and marks, in quarters; its length in powers of two."""
-    span = text[start:end]
+    """The kind; how much of the span is digits, capitals and marks, in quarters; its length in powers of two; of its context, whether a
+    cue stands before, whether it is assigned to a name (1) or to one with a cue (2), and whether it is quoted; whether its form is strict.
+    """
+    span, name = text[start:end], _named(text, start)
     share = lambda ok: min(3, 4 * sum(map(ok, span)) // len(span))
-    return (KINDS.index(kind), share(str.isdigit), share(str.isupper), share(lambda c: not c.isalnum()), min(6, len(span).bit_length()))
+    before = text[max(0, start - BEFORE) : start].lower()
+    return (
+        KINDS.index(kind),
+        share(str.isdigit),
+        share(str.isupper),
+        share(lambda c: not c.isalnum()),
+        min(6, len(span).bit_length()),
+        int(any(c in before for c in CUES[kind])),
+        2 if any(c in name for c in CUES[kind]) else int(bool(name)),
+        int(text[start - 1 : start] in ('"', "'") and text[end : end + 1] == text[start - 1 : start]),
+        _pattern(kind, span),
+    )
+
+
+FEATURES = 9
 
 
 def _dense(feats: np.ndarray) -> np.ndarray:
-    out = [np.eye(len(KINDS))[feats[:, 0]], feats[:, 1:] / np.array([3, 3, 3, 6]), np.ones((len(feats), 1))]
-    return np.concatenate(out, axis=1)
+    """Each added kind has weights of its own for what tells its spans apart."""
+    kind = np.eye(len(KINDS))[feats[:, 0]]
+    own = feats[:, 1:] / np.array([3, 3, 3, 6, 1, 2, 1, 1])
+    return np.concatenate([kind, own, (kind[:, len(BASE) :, None] * own[:, None, 4:]).reshape(len(feats), -1), np.ones((len(feats), 1))], axis=1)
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +267,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ac
     ignored. If there are no candidates the classifier accepts none.
     """
     found = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_search, _FOUND), "pii-spans")
-    # At most 3 ** labelers * kinds * 4 ** 3 * 7 rows, whatever the input; in fact some hundreds.
-    seen = found.select(F.explode("spans").alias("x")).groupBy("x.pattern", "x.feats").count().collect()
+    # Bounded by the votes' and features' values, whatever the input; in fact some hundreds of rows.
+    seen = sorted(found.select(F.explode("spans").alias("x")).groupBy("x.pattern", "x.feats").count().collect())
     patterns = np.array([r[0] for r in seen], np.int64).reshape(-1, len(LABELERS))
-    feats = np.array([r[1] for r in seen], np.int64).reshape(-1, 5)
+    feats = np.array([r[1] for r in seen], np.int64).reshape(-1, FEATURES)
     counts = np.array([r[2] for r in seen], np.float64)
     _, q = reliabilities(patterns, counts)
     w = span_classifier(feats, q, counts)

@@ -218,8 +218,57 @@ def test_long_runs_are_linear():
 def test_secrets_are_whole():
     for n in (6, 200, 201, 5000):
         t = f"see token={'a.B-9' * 1000}"[: 10 + n] + "; more"
-        assert pii.candidates(t, []) == [(4, 10 + n, "secret")]
-    pii.candidates("token=" * 50_000, [])
+        assert pii.candidates(t, []) == [(10, 10 + n, "secret")]
+    for t in ('token = "04db 9x!"', "token = '04db 9x!'", 'TOKEN:"04db 9x!"', "{'token': '04db 9x!'}", 'token="04db 9x!'):
+        assert [t[s:e] for s, e, _ in pii.candidates(t, [])] == ["04db 9x!"]
+    for t in ("token=" * 50_000, 'token="' * 50_000, "a-" * 100_000 + "=", "12-" * 100_000, "AB12" * 50_000, "(12) " * 50_000):
+        pii.candidates(t, [])
+
+
+def naive_candidates(text, base):
+    found = [(*m.span(), kind) for kind, shape in pii._BROAD.items() for m in shape.finditer(text)]
+    found += [(*m.span(), "secret") for m in pii._RUN.finditer(text) if re.search("[0-9]", m[0]) or m[0].startswith("AKIA")]
+    found += [(*next((m.span(i) for i in (2, 3, 4) if m[i] is not None)), "secret") for m in pii._ASSIGNED.finditer(text)]
+    out = []
+    for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1], -pii._pattern(x[2], text[x[0] : x[1]]), pii.KINDS.index(x[2]))):
+        if all(e <= a or s >= b for a, b, _ in base + out):
+            out.append((s, e, kind))
+    return out
+
+
+def test_final_spans_against_brute_force(spark):
+    """Labelers' rates and the classifier's weights recomputed from every single span, with plain loops."""
+    r = random.Random(12)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    parts = [
+        lambda: f'token = "{hexes(40)}"', lambda: f"api_key={hexes(32)}", lambda: f"size: {r.randrange(10**6)} units", lambda: f"on 20{digits(2)}-{digits(2)}-{digits(2)}",
+        lambda: f"call 555-{digits(3)}-{digits(4)}", lambda: f"ssn 123-{digits(2)}-{digits(4)}", lambda: f"build {hexes(18)}", lambda: f"a{digits(2)}@mail.example.com",
+        lambda: f"+1 (327) 555-{digits(4)}", lambda: f"10.{digits(2)}.1.2", lambda: "note: something quite long", lambda: f"price $ {digits(3)} {digits(4)}", lambda: f"n{digits(20)}",
+    ]
+    rows = [(i, " ".join(x for _ in range(r.randint(1, 6)) for x in (prose(2), r.choice(parts)()))) for i in range(250)]
+    spans = {i: [(x, base) for base, xs in ((True, pii.base_spans(t)), (False, naive_candidates(t, pii.base_spans(t)))) for x in xs] for i, t in rows}
+    told = [(pii.votes(t, *x), pii.features(t, *x)) for i, t in rows for x, _ in spans[i]]
+    q = [(sum(v == 1 for v in vs) + 1) / (sum(v >= 0 for v in vs) + 2) for vs, _ in told]
+    for _ in range(50):
+        rate = [[(sum(w for w, (vs, _) in zip(ws, told) if vs[j] == 1) + first) / (sum(w for w, (vs, _) in zip(ws, told) if vs[j] >= 0) + 5) for j in range(len(pii.LABELERS))]
+                for ws, first in (([1 - x for x in q], 1), (q, 4))]
+        prior = (sum(q) + 1) / (len(q) + 2)
+        of = {}
+        for vs in {vs for vs, _ in told}:
+            log = [np.log(p) + sum(np.log(rate[c][j] if v else 1 - rate[c][j]) for j, v in enumerate(vs) if v >= 0) for c, p in ((0, 1 - prior), (1, prior))]
+            of[vs] = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        q = [of[vs] for vs, _ in told]
+    x, q = pii._dense(np.array([f for _, f in told])), np.array(q)
+    w = np.zeros(x.shape[1])
+    for _ in range(300):
+        w -= 4.0 * (x.T @ (1 / (1 + np.exp(-x @ w)) - q) / len(q) + 1e-4 * w)
+    good = {f for (_, f), p in zip(told, 1 / (1 + np.exp(-x @ w))) if p >= 0.5}
+    want = {i: sorted((x for x, base in spans[i] if base or pii.features(t, *x) in good), key=lambda x: (x[0], pii.KINDS.index(x[2]), x[1])) for i, t in rows}
+    got = {d["doc_id"]: [(s["s"], s["e"], s["kind"]) for s in d["spans"]] for d in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    added = {t[s:e] for i, t in rows for s, e, kind in got[i] if kind == "secret"}
+    assert all(m in added for _, t in rows for m in re.findall('token = "([^"]*)"', t)) and not any(x.startswith("something") for x in added)
 
 
 def test_votes_add_spans_and_keep_base_ones(spark):
@@ -229,7 +278,7 @@ def test_votes_add_spans_and_keep_base_ones(spark):
 
 
 def test_em_finds_the_reliable_labeler():
-    patterns = np.array([[1, 1, 1, 1, -1], [0, 0, 0, -1, 0], [1, 0, 0, -1, 0], [1, 1, 1, -1, -1]])
+    patterns = np.array([[1, 1, 1, 1, 1, -1], [0, 0, 0, -1, -1, 0], [1, 0, 0, -1, -1, 0], [1, 1, 1, -1, -1, -1]])
     rate, q = pii.reliabilities(patterns, np.array([50.0, 50, 50, 50]))
     assert q[0] > 0.9 and q[3] > 0.9 and q[1] < 0.1 and q[2] < 0.5 and rate[1][1] > rate[0][1]
 
