@@ -2,15 +2,20 @@
 
 Texts with equal shingle sets count once. All tokens have one order, seldom ones first by a sketch of fixed size, and sets with enough
 overlap share many of those that come first in it. Sets that are likely alike form groups: those whose least first token that
-any other set shares is the same. A group's column of the token-group matrix is the union of its members' tokens. How
-many first tokens a set shares with a group bounds its overlap with every member; where that qualifies the group is opened, the
-bound is taken again over its whole union, and the members are compared. Members whose component is joined
-to the query's already are passed over, as another link would not change it.
+any other set shares is the same. A group's column of the token-group matrix is the union of its members' tokens; it is stored in
+two forms, its first tokens parted by token, and for groups that sets from elsewhere ask, its whole union. How many first tokens
+a set shares with a group bounds its overlap with every member; where that qualifies, the bound is taken again over the stored
+whole union. Only groups that qualify then are opened: their members' texts are brought and compared with the set's. Members whose component
+is joined to the query's already are passed over, as another link would not change it.
+
+Tokens are 64-bit hashes of shingles: two shingles count as equal if their hashes are. Sets are told apart by 128-bit digests of their
+tokens; where 64 bits of these, which postings carry, are not enough, the sets in question get others.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 
 from cartolina.llm.common import shuffle_parts, small_batches, staged, two_columns
 from cartolina.llm.components import components
+from cartolina.llm.words import forget
 
 CELLS = 1 << 24
 SKETCH_SHARDS = 64
@@ -111,10 +117,11 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
 _SIZED = "doc_id long, n_shingles long, mark binary, handle long, shard int, cells binary"
 
 
-def _sized(k: int):
+def _sized(k: int, bits: int):
     """Each text's set size and digest; and, once a task, a sketch of how many texts have each token, copies within a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher, cells, seen = Hasher(), np.zeros(CELLS, np.int32), set()
         for ids, sets, last in _chunks(batches, hasher, k):
             marks = [_digest(s) if len(s) else None for s in sets]
@@ -128,7 +135,7 @@ def _sized(k: int):
             if last:
                 seen.clear()
             none = [None] * len(ids)
-            handles = [int.from_bytes(m[:8], "little", signed=True) if m else None for m in marks]
+            handles = [m and handle_of(m, {}, bits) for m in marks]
             yield _row(ids, [len(s) for s in sets], marks, handles, none, none)
         none = [None] * SKETCH_SHARDS
         yield _row(none, none, none, none, list(range(SKETCH_SHARDS)), [zstandard.compress(p.tobytes(), 1) for p in cells.reshape(SKETCH_SHARDS, -1)])
@@ -177,10 +184,34 @@ _FIRST = np.dtype([("token", "<u8"), ("handle", "<u8"), ("n", "<u4")])
 _POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("handle", "<u8"), ("n", "<u4")])
 
 
-def _postings(k: int, percent: int, parts: int, held):
-    """For each chunk and part, packed: token, handle (from the set's digest) and size, for the first tokens of each distinct set."""
+def handle_of(mark: bytes, others: dict[bytes, int], bits: int = 64) -> int:
+    """The number that stands for a set in postings: the first bits of its digest, or what others gives it, as a signed long."""
+    own = others.get(mark)
+    return int.from_bytes(mark[:8], "little", signed=True) >> (64 - bits) if own is None else own
+
+
+def _handled(sized: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
+    """mark, handle and rep of each distinct set, no two with one handle; and the handles of sets whose first bits others have too.
+
+    Of n sets about n ** 2 / 2 ** 64 pairs share a handle, a few in 10 ** 10 sets; these come to the driver.
+    """
+    others: dict[bytes, int] = {}
+    reps = staged(sized.where("mark is not null and doc_id is not null").groupBy("mark", "handle").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    clash = reps.join(reps.groupBy("handle").count().where("count > 1").select("handle"), "handle", "left_semi")
+    for r in clash.select("mark").toLocalIterator():
+        mark = bytes(r["mark"])
+        others[mark] = int.from_bytes(hashlib.blake2b(mark, digest_size=8).digest(), "little", signed=True)
+    if others:
+        told = sized.sparkSession.createDataFrame([(bytearray(m), h) for m, h in others.items()], "mark binary, other long")
+        reps = staged(reps.join(told, "mark", "left").select("mark", "rep", F.coalesce("other", "handle").alias("handle")), "jaccard-reps")
+    return reps, others
+
+
+def _postings(k: int, percent: int, parts: int, held, others: dict[bytes, int], bits: int):
+    """For each chunk and part, packed: token, handle and size, for the first tokens of each distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher, classes, seen = Hasher(), held.value, set()
         for _, sets, last in _chunks(batches, hasher, k):
             rows = []
@@ -191,7 +222,7 @@ def _postings(k: int, percent: int, parts: int, held):
                 seen.add(mark)
                 first = _first(s, classes, percent)
                 p = np.empty(len(first), _FIRST)
-                p["token"], p["handle"], p["n"] = first, np.frombuffer(mark[:8], "<u8")[0], len(s)
+                p["token"], p["handle"], p["n"] = first, np.int64(handle_of(mark, others, bits)).view(np.uint64), len(s)
                 rows.append(p)
             if last:
                 seen.clear()
@@ -345,45 +376,126 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def open_groups(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]], percent: int) -> tuple[list[tuple[int, int]], int]:
-    """Links that join the components of a group's members and of queries to it, and how many queries its bound turned away."""
-    if not members:
-        return [], 0
-    union = np.unique(np.concatenate([t for _, t in members]))
-    order = sorted(members, key=lambda m: len(m[1]))
-    sizes = np.array([len(t) for _, t in order])
-    joined, links, away = _Joined(), [], 0
-    for q, tokens in [*members, *queries]:
-        lo = np.searchsorted(sizes, -(-percent * len(tokens) // 100))
-        hi = np.searchsorted(sizes, 100 * len(tokens) // percent, side="right")
-        if lo >= hi or _overlap(tokens, union) < needed(len(tokens), int(sizes[lo]), percent):
-            away += 1
-            continue
-        for m, own in order[lo:hi]:
-            if m == q or joined.top(m) == joined.top(q):
-                continue
-            if _overlap(tokens, own) >= needed(len(tokens), len(own), percent):
-                joined.up[joined.top(q)] = joined.top(m)
-                links.append((q, m))
-    return links, away
+class Group:
+    """The members of a group, or of a part of a large one: (id, tokens, whether it is known to link to the group's leader)."""
+
+    def __init__(self, members: list[tuple[int, np.ndarray, bool]], percent: int):
+        self.percent, self.members = percent, sorted(members, key=lambda m: len(m[1]))
+        self.sizes = np.array([len(m[1]) for m in self.members])
+        self.joined = _Joined()
+        core = [m for m, _, known in members if known]
+        for m in core[1:]:
+            self.joined.up[self.joined.top(m)] = self.joined.top(core[0])
+
+    def links(self, query: int, tokens: np.ndarray) -> list[tuple[int, int]]:
+        """Links of the query to members, one to each component that it joins."""
+        out = []
+        lo = np.searchsorted(self.sizes, -(-self.percent * len(tokens) // 100))
+        hi = np.searchsorted(self.sizes, 100 * len(tokens) // self.percent, side="right")
+        for m, own, _ in self.members[lo:hi]:
+            if m != query and self.joined.top(m) != self.joined.top(query) and _overlap(tokens, own) >= needed(len(tokens), len(own), self.percent):
+                self.joined.up[self.joined.top(query)] = self.joined.top(m)
+                out.append((query, m))
+        return out
+
+    def inner(self) -> list[tuple[int, int]]:
+        """Links that join the components among the members."""
+        return [x for m, tokens, _ in self.members for x in self.links(m, tokens)]
+
+
+def union_of(members: list[tuple[int, np.ndarray, bool]]) -> np.ndarray:
+    """The stored union: 32 bits of each token of any member. Tokens that share these only raise the bound."""
+    return np.unique(np.concatenate([_short(t) for _, t, _ in members]))
+
+
+def _short(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(32)).astype(np.uint32)
+
+
+def may_link(tokens: np.ndarray, union: np.ndarray, least: int, most: int, percent: int) -> bool:
+    """Whether a group with this union, and members of these sizes, may hold a set that links: the bound on the overlap."""
+    n = len(tokens)
+    lo, hi = max(least, -(-percent * n // 100)), min(most, 100 * n // percent)
+    if lo > hi or not len(union):
+        return False
+    short = _short(tokens)
+    at = np.searchsorted(union, short)
+    at[at == len(union)] = 0
+    return int((union[at] == short).sum()) >= needed(n, lo, percent)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """Rows (group, part, then other columns, the packed text last) with the text's tokens instead; null stays null."""
+    hasher = Hasher()
+    for b in batches:
+        *keys, texts = (c.to_pylist() for c in b.columns)
+        sets = iter(shingled(hasher, [zstandard.decompress(z) for z in texts if z is not None], k))
+        for row, z in zip(zip(*keys, strict=True), texts, strict=True):
+            yield *row, None if z is None else next(sets)
+
+
+_UNITED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64()), ("part", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("tokens", pa.binary())])
+
+
+def _united(k: int, percent: int):
+    """Members by group and part: the links among them, and for groups that are asked their union and sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        rows = _sets(batches, k)
+        for (group, part), own in itertools.groupby(rows, key=lambda r: r[:2]):
+            own = list(own)
+            members = [(doc, tokens, bool(core)) for _, _, doc, core, _, tokens in own]
+            told = [(a, b, None, None, None, None, None) for a, b in Group(members, percent).inner()]
+            if any(r[4] for r in own):
+                sizes = [len(m[1]) for m in members]
+                told.append((None, None, group, part, min(sizes), max(sizes), union_of(members).tobytes()))
+            yield pa.record_batch([pa.array([t[i] for t in told], f.type) for i, f in enumerate(_UNITED)], schema=_UNITED)
+
+    return run
+
+
+def _bounded(k: int, percent: int):
+    """A stored union, then the sets that ask its group: those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        out: list[tuple] = []
+        now, union, sizes = None, np.zeros(0, np.uint32), (0, 0)
+        for group, part, doc, least, most, stored, tokens in _sets(batches, k):
+            if doc is None:
+                now, union, sizes = (group, part), np.frombuffer(stored, np.uint32), (least, most)
+            elif now == (group, part) and may_link(tokens, union, *sizes, percent):
+                out.append((doc, group, part))
+                if len(out) >= 4096:
+                    yield _three(out)
+                    out = []
+        yield _three(out)
+
+    return run
+
+
+def _three(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["doc_id", "group", "part"])
 
 
 def _opened(k: int, percent: int):
+    """Members by group and part, then the sets that qualified for it, which pass one by one: their links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, now, members, queries = Hasher(), None, [], []
-        for b in batches:
-            links: list[tuple[int, int]] = []
-            *keys, texts = b.columns
-            sets = shingled(hasher, [zstandard.decompress(z) for z in texts.to_pylist()], k)
-            for (g, part, doc, query), tokens in zip(zip(*(c.to_pylist() for c in keys), strict=True), sets, strict=True):
-                if (g, part) != now:
-                    links += open_groups(members, queries, percent)[0]
-                    now, members, queries = (g, part), [], []
-                (queries if query else members).append((doc, tokens))
-            if links:
-                yield _links(links)
-        links = open_groups(members, queries, percent)[0]
-        yield _links(links)
+        forget()
+        for _, rows in itertools.groupby(_sets(batches, k), key=lambda r: r[:2]):
+            members, opened, links = [], None, []
+            for _, _, query, doc, core, tokens in rows:
+                if not query:
+                    members.append((doc, tokens, bool(core)))
+                    continue
+                opened = opened or Group(members, percent)
+                links += opened.links(doc, tokens)
+                if len(links) >= 4096:
+                    yield _links(links)
+                    links = []
+            yield _links(links)
 
     return run
 
@@ -446,23 +558,24 @@ def _led(k: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, group: int = GROUP) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, group: int = GROUP, bits: int = 64) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
     A text's set is its distinct k-word shingles, or its one whole sequence if it has fewer words; two texts link if 100 *
     intersection >= percent * union. component_id is the smallest id reached by links. A null text, or one without words, has
-    no shingles and links with nothing. Equal sets always link; repeated rows each get their row; rows of one id with other texts are one document to links; rows with a null id never stand for
-    others; an empty table gives no rows; other columns are ignored.
+    no shingles and links with nothing. Equal sets always link; repeated rows each get their row; rows of one id with other texts
+    are one document to links; rows with a null id never stand for others; an empty table gives no rows; other columns are ignored.
+    Shingles are compared by 64-bit hashes, and equal sets are recognised by 128-bit digests. bits: of a digest that postings carry; sets
+    that these don't tell apart get other numbers, so that it doesn't change the result.
     """
     spark = docs.sparkSession
     texts = two_columns(docs, id_col, text_col)
-    both = staged(texts.mapInArrow(_sized(k), _SIZED), "jaccard-sizes")
+    both = staged(texts.mapInArrow(_sized(k, bits), _SIZED), "jaccard-sizes")
     sized = both.where("shard is null").select("doc_id", "n_shingles", "mark", "handle")
-    # One document stands for each distinct set; its handle is the digest's first eight bytes.
-    first = staged(sized.where("mark is not null and doc_id is not null").groupBy("mark", "handle").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    first, others = _handled(sized)  # one document stands for each distinct set
     held = spark.sparkContext.broadcast(_classes(both))
     parts = shuffle_parts(spark)
-    packed = texts.mapInArrow(_postings(k, percent, parts, held), _PACKED).repartitionById(parts, F.col("part"))
+    packed = texts.mapInArrow(_postings(k, percent, parts, held, others, bits), _PACKED).repartitionById(parts, F.col("part"))
     for step in (_shared(parts), _grouped(parts)):
         packed = packed.mapInArrow(step, _PACKED).repartitionById(parts, F.col("part"))
     packed = packed.mapInArrow(_probes(percent, parts), _PACKED).repartitionById(parts, F.col("part"))
@@ -477,23 +590,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: int) -> DataFrame:
     """a, b: links that join all components. asked: each set's home group and a group that it qualifies for, its home or another.
 
-    A group of up to `group` members is opened by one task, for its members and for all queries to it. A larger one is split: every
-    member is compared with its leader, and only members that don't link to the leader, and sets from elsewhere, query the parts.
+    A group of up to `group` members is one part, a larger one several; each member of a large one is first compared with the group's
+    leader. The members of a part are compared with each other by one task, which also stores the part's union. Sets from elsewhere, and
+    members of large groups that don't link to the leader, ask the unions of all parts, and those that qualify are compared with the part's members.
     """
+    parts_of = shuffle_parts(texts.sparkSession)
     members = asked.select("doc_id", F.col("home").alias("group")).distinct()
     asks = asked.where("group < home").select("doc_id", "group").distinct()  # between two groups one direction is enough
-    # A group without other members or queries has nothing to open.
+    from_elsewhere = asks.select("group").distinct().withColumn("asked", F.lit(True))
     busy = members.groupBy("group").agg(F.count("*").alias("m"), F.min("doc_id").alias("leader"))
-    homes = staged(members.join(busy, "group"), "jaccard-members")
+    homes = members.join(busy, "group").join(from_elsewhere, "group", "left")
+    # A group without other members or queries has nothing to open.
+    homes = staged(homes.where("m > 1 or asked").withColumn("asked", F.coalesce("asked", F.col("m") > group)), "jaccard-members")
     wanted = homes.select("doc_id").union(asks.select("doc_id")).distinct()
     packed = staged(_texts_of(texts, staged(wanted, "jaccard-wanted")), "jaccard-texts")
     large = homes.where(F.col("m") > group)
     leading = large.where("doc_id = leader").join(packed, "doc_id").groupBy("group").agg(F.min("z").alias("leading"))
-    led = staged(large.join(packed, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "z", "leading").mapInArrow(_led(k, percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led")
+    beside = large.join(packed, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "z", "leading")
+    led = staged(beside.mapInArrow(_led(k, percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led")
+    core = led.select("doc_id", "group", "core")
     parts = F.ceil(F.col("m") / group).cast("long")
-    own = homes.select("group", F.pmod(F.xxhash64("doc_id"), parts).alias("part"), "doc_id", F.lit(False).alias("query"))
-    loose = led.where("not core").select("doc_id", "group").unionByName(asks)
-    away = loose.join(busy, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id", F.lit(True).alias("query"))
-    rows = own.unionByName(away).join(packed, "doc_id").select("group", "part", "doc_id", "query", "z")
-    opened = rows.repartition(shuffle_parts(texts.sparkSession), "group", "part").sortWithinPartitions("group", "part", "query").mapInArrow(_opened(k, percent), "a long, b long")
-    return opened.unionByName(led.where("core and doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
+    own = homes.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).join(core, ["doc_id", "group"], "left")
+    mine = own.join(packed, "doc_id").select("group", "part", "doc_id", "core", "asked", "z")
+    united = mine.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part")
+    united = staged(united.mapInArrow(_united(k, percent), "a long, b long, group long, part long, least long, most long, tokens binary"), "jaccard-unions")
+    loose = core.where("not core").select("doc_id", "group").unionByName(asks).join(busy, "group")
+    loose = loose.select("group", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id").join(packed, "doc_id")
+    unions = united.where("tokens is not null").select("group", "part", F.lit(None).cast("long").alias("doc_id"), "least", "most", "tokens", F.lit(None).cast("binary").alias("z"))
+    asking = unions.unionByName(loose, allowMissingColumns=True)
+    asking = asking.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", F.asc_nulls_first("doc_id"))
+    good = staged(asking.select(*unions.columns).mapInArrow(_bounded(k, percent), "doc_id long, group long, part long"), "jaccard-qualified")
+    opening = own.join(good.select("group", "part").distinct(), ["group", "part"]).select("group", "part", F.lit(False).alias("query"), "doc_id", "core")
+    coming = good.select("group", "part", F.lit(True).alias("query"), "doc_id", F.lit(None).cast("boolean").alias("core"))
+    rows = opening.unionByName(coming).join(packed, "doc_id").select("group", "part", "query", "doc_id", "core", "z")
+    opened = rows.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", "query").mapInArrow(_opened(k, percent), "a long, b long")
+    known = led.where("core and doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    return united.where("a is not null").select("a", "b").unionByName(opened).unionByName(known)

@@ -116,6 +116,44 @@ def test_jaccard_components(docs, texts, k, percent, group):
     assert got == brute_components(texts, k, percent)
 
 
+@pytest.mark.parametrize("bits", [1, 5])
+def test_sets_with_one_handle_stay_apart(docs, texts, bits):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, bits=bits).where("doc_id is not null").collect()}
+    assert got == brute_components(texts)
+
+
+@pytest.mark.parametrize("group", [4, 256])
+def test_jaccard_of_a_large_group_whose_members_do_not_link_to_the_leader(spark, group):
+    """Texts that share their seldom words but differ otherwise, with families among them, and near copies from other groups."""
+    r = random.Random(21)
+    shared = [f"shared{i}" for i in range(12)]
+    rows = []
+    for f in range(25):
+        own = [f"f{f}w{i}" for i in range(60)]
+        for j in range(3):
+            w = shared + own
+            if j:
+                w[r.randrange(len(w))] = f"x{f}{j}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, " ".join(f"y{i % 3}{j}" for j in range(50 + i // 9))) for i in range(27)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(docs, group=group).collect()}
+    assert got == brute_components(rows)
+
+
+def test_stored_unions_turn_no_link_away():
+    r = random.Random(22)
+    for _ in range(300):
+        base = np.array(r.sample(range(1, 1 << 62), 80), np.uint64)
+        change = lambda n: np.sort(np.concatenate([base[n:], np.array(r.sample(range(1, 1 << 62), n), np.uint64)]))
+        members = [(i, change(r.randrange(9)), False) for i in range(4)]
+        query = change(r.randrange(9))
+        sizes = [len(m[1]) for m in members]
+        may = jaccard.may_link(query, jaccard.union_of(members), min(sizes), max(sizes), 85)
+        assert may or not jaccard.Group(members, 85).links(9, query)
+    assert not jaccard.may_link(query + np.uint64(1 << 40), jaccard.union_of(members), 80, 80, 85) and not jaccard.may_link(query, jaccard.union_of(members), 200, 300, 85)
+
+
 def test_jaccard_at_the_threshold(spark):
     base = [f"w{i}" for i in range(43)]
     at = lambda n: " ".join(base[:n] + [f"x{n}{i}" for i in range(40 - n)])
