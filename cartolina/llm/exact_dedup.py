@@ -5,7 +5,7 @@ distinct text of the batch (bytes, count, largest id) and one small row for each
 over the leading bits of the hash starts with a single bucket and doubles while a bucket holds more
 bytes than its capacity. Every bucket covers a range of keys; owner tasks read whole ranges in key
 order, chain entries of one key and compare their bytes. Copies have been folded before the shuffle,
-so a group that holds a third of all rows sends one entry a batch.
+so a group that holds a third of all rows sends one entry a batch; what such groups come to is told to their rows by a broadcast.
 """
 
 from __future__ import annotations
@@ -21,10 +21,15 @@ from pyspark.sql import functions as F
 
 from cartolina.llm.common import staged, two_columns
 
-#: The directory has at most 2 ** MAX_DEPTH cells, so what the driver holds and broadcasts is bounded.
-MAX_DEPTH = 16
+#: Bytes of a bucket; doubled where the directory would need more than 2 ** MOST_BITS buckets (from 1 TB of entries on).
 CAPACITY = 4 << 20
-MAX_OWNERS = 4096
+MOST_BITS = 18
+#: Leading bits beyond the usual depth that a bucket over capacity can still be split by.
+SPARE_BITS = 3
+#: Bytes that one owner reads, about, where there are more buckets than FEW_OWNERS.
+OWNED, FEW_OWNERS = 64 << 20, 4096
+#: Groups with more than this share of all rows, at most as many as its inverse, are told to their rows by a broadcast.
+HOT = 1 / 1024
 
 _ENTRIES = "doc_id long, key long, sha binary, body binary, n long, max_id long"
 _GROUPS = "sha binary, keep_id long, group_size long"
@@ -81,7 +86,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(out + chain)
 
 
-def directory(sizes: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[int]:
+def directory(sizes: dict[int, int], capacity: int, max_depth: int) -> list[int]:
     """The cells of the directory, each with its bucket's number; sizes: bytes by the key's max_depth leading bits.
 
     A bucket that is over capacity is split at its next bit; if its depth is the directory's own, the directory doubles.
@@ -115,15 +120,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     index = staged(two_columns(docs, id_col, text_col).mapInArrow(_entries, _ENTRIES), "exact-index")
+    rows, total = index.agg(F.count("*"), F.sum(F.when(F.col("n") > 0, F.length("body") + 64))).first()
+    while (total or 0) / capacity > 1 << MOST_BITS:
+        capacity *= 2
+    max_depth = max(4, ((total or 0) // capacity).bit_length() + SPARE_BITS)
     held = index.where("n > 0")
-    cell = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - MAX_DEPTH)
-    sizes = {r[0]: r[1] for r in held.groupBy(cell.alias("cell")).agg(F.sum(F.length("body") + 64)).collect()}  # at most 2 ** MAX_DEPTH rows
-    cells = directory(sizes, capacity)
-    owners = min(cells[-1] + 1, MAX_OWNERS)
-    shift = MAX_DEPTH - (len(cells).bit_length() - 1)
-    ranges = spark.createDataFrame([(i, b * owners // (cells[-1] + 1)) for i, b in enumerate(cells)], "cell int, owner int")
+    cell = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - max_depth)
+    sizes = {r[0]: r[1] for r in held.groupBy(cell.alias("cell")).agg(F.sum(F.length("body") + 64)).collect()}  # at most 2 ** max_depth rows
+    cells = directory(sizes, capacity, max_depth)
+    buckets = cells[-1] + 1
+    owners = min(buckets, max(FEW_OWNERS, (total or 0) // OWNED))
+    shift = max_depth - (len(cells).bit_length() - 1)
+    ranges = spark.createDataFrame([(i, b * owners // buckets) for i, b in enumerate(cells)], "cell int, owner int")  # at most 2 ** max_depth rows
     owned = held.withColumn("cell", F.shiftright(cell, shift).cast("int")).join(F.broadcast(ranges), "cell")
-    groups = owned.repartitionById(owners, F.col("owner")).select("key", "sha", "body", "n", "max_id").sortWithinPartitions("key").mapInArrow(_chains, _GROUPS)
-    return index.select("doc_id", "sha").join(groups, "sha").select(
+    entries = owned.repartitionById(owners, F.col("owner")).select("key", "sha", "body", "n", "max_id").sortWithinPartitions("key")
+    groups = staged(entries.mapInArrow(_chains, _GROUPS), "exact-groups")
+    hot = groups.where(F.col("group_size") > HOT * rows)
+    told = index.select("doc_id", "sha").join(F.broadcast(hot), "sha", "left")
+    rest = told.where("group_size is null").select("doc_id", "sha").join(groups.where(F.col("group_size") <= HOT * rows), "sha")
+    return told.where("group_size is not null").unionByName(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )

@@ -3,7 +3,7 @@
 A vector is a document whose terms are its dimensions; a shard keeps one posting row a dimension, with its least and
 greatest value. Times a query's own value these bound what the dimension can add to any score. Dimensions in order of that
 bound are split where all that the lesser ones could add together no longer beats the query's k-th best
-score so far: the essential postings are traversed, and only vectors that the rest could still lift into the top k are probed in
+score so far: the essential postings are traversed (as rows of a dense matrix, since a vector has a value in nearly every dimension), and only vectors that the rest could still lift into the top k are probed in
 the others, a few dimensions at a time. Each task keeps its best k for each query, and these are merged.
 """
 
@@ -92,6 +92,7 @@ _HITS = "query_id long, vec_id long, score long"
 
 
 def _block_hits(rows: DataFrame, block: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+    """Each shard's best for the block's queries, written before the next block is broadcast, so that one block at a time is held."""
     held = rows.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,9 @@ def _block_hits(rows: DataFrame, block: list[tuple[int, np.ndarray]], k: int) ->
             if len(ids):
                 yield pa.record_batch([pa.array([i] * len(ids), pa.int64()), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(search, _HITS)
+    hits = staged(rows.mapInArrow(search, _HITS), "topk-hits")
+    held.unpersist()
+    return hits
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block: int = BLOCK) -> DataFrame:

@@ -75,6 +75,17 @@ def test_directory_splits_only_full_buckets():
     assert exact_dedup.directory({3: 5}, capacity=10, max_depth=4) == [0]
 
 
+def test_exact_dedup_of_a_hot_group_and_many_buckets(spark, monkeypatch):
+    texts = ["hot" if i % 3 else f"text {i % 700}" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {i: (max(j for j, u in enumerate(texts) if u == t), texts.count(t)) for i, t in enumerate(texts)}
+    got = lambda: {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, capacity=300).collect()}
+    assert got() == want
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 2)
+    monkeypatch.setattr(exact_dedup, "FEW_OWNERS", 2)
+    assert got() == want
+
+
 def test_chain_compares_bytes():
     import pyarrow as pa
     import zstandard
