@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolina.llm.common import shuffle_parts, staged
+from cartolina.llm.words import forget
 
 WINDOW, STRIDE, GRAM = 100, 60, 16
 KEEP = WINDOW - STRIDE + 1
@@ -55,19 +56,19 @@ def _windows(data: np.ndarray, seed: int = 1) -> np.ndarray:
     return _join(_join(d[64][:n], d[32][64 : 64 + n]), d[4][96 : 96 + n])
 
 
-def _pieces(rows: Iterator[tuple]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _pieces(rows: Iterator[tuple], size: int = PIECE) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Documents' bytes laid end to end: (keys, where each piece starts in its document, bounds of the pieces)."""
     keys, froms, parts, held = [], [], [], 0
     for key, raw in rows:
-        for lo in range(0, max(1, len(raw) - WINDOW + 1), PIECE):
-            piece = raw[lo : lo + PIECE + WINDOW - 1]
+        for lo in range(0, max(1, len(raw) - WINDOW + 1), size):
+            piece = raw[lo : lo + size + WINDOW - 1]
             if len(piece) < WINDOW:
                 continue
             keys.append(key)
             froms.append(lo)
             parts.append(piece)
             held += len(piece)
-            if held >= PIECE:
+            if held >= size:
                 yield keys, np.array(froms), parts
                 keys, froms, parts, held = [], [], [], 0
     if parts:
@@ -100,7 +101,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, its order (never null), a tag that tells rows of one id apart, and the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.col(id_col).cast("long")
-    tag = F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int")
+    tag = F.xxhash64(text)
     return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(_NULL_ID)).alias("doc"), tag.alias("tag"), text.cast("binary").alias("raw"))
 
 
@@ -118,27 +119,58 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-_POSTED = ("<u8", "<i8", "<u2", _RUN)
+_POSTED = ("<u8", "<i8", "<i8", _RUN)
 
 
-def _posted(parts: int):
-    """For each step and part, packed: hash, document, tag and run of each owner."""
+def _bucket(docs: np.ndarray, parts: int) -> np.ndarray:
+    """The part that gathers a document's runs."""
+    return (((docs.astype(np.uint64) * _M1) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def _packets(part: np.ndarray, known: bool, *arrays: np.ndarray) -> list[tuple[int, bool, bytes]]:
+    """The arrays packed by part."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(part))
+    return [(int(part[order[lo]]), known, _pack(*(x[order[lo:hi]] for x in arrays))) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _packet_rows(told: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([t[i] for t in told], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["part", "known", "packed"])
+
+
+def _posted(parts: int, size: int):
+    """For each step and part, packed: hash, document, tag and run of each owner.
+
+    Owners whose hash stands twice in one task (a common line's, say) are known at once to stand twice: they go straight to their
+    documents' parts, and only the first two go to the hash's part, so that other tasks' owners meet them there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        common = np.zeros(0, np.uint64)  # hashes met twice in a step of this task, as many as its input has
         rows = (((doc, tag), raw) for b in batches for doc, tag, raw in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for keys, froms, pieces in _pieces(rows):
+        for keys, froms, pieces in _pieces(rows, size):
             piece, first, last, at, keep = owners(pieces)
             runs = np.empty(len(at), _RUN)
             runs["at"], runs["lo"], runs["hi"] = at + froms[piece], at - first, at - last
-            docs, tags = np.array([k[0] for k in keys], np.int64)[piece], np.array([k[1] for k in keys], np.uint16)[piece]
-            part = ((keep >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(part))
-            blobs = []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                own = order[lo:hi]
-                blobs.append(_pack(keep[own], np.diff(docs[own], prepend=np.int64(0)), tags[own], runs[own]))
-            yield pa.record_batch([pa.array(part[order[cuts[:-1]]]), pa.array(blobs, pa.binary())], names=["part", "packed"])
+            docs, tags = np.array([k[0] for k in keys], np.int64)[piece], np.array([k[1] for k in keys], np.int64)[piece]
+            order = np.lexsort((runs["at"], tags, docs, keep))
+            own, d, t, a = keep[order], docs[order], tags[order], runs["at"][order]
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            # Repeated rows, and the pieces of a cut text, show one place twice.
+            place = np.cumsum(new | np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1])]))
+            begin = np.flatnonzero(new)
+            width = np.diff(np.append(begin, len(own)))
+            nth = place - np.repeat(place[begin], width)  # of an owner's place among those of its hash
+            kinds, count = own[begin], place[begin + width - 1] - place[begin] + 1
+            met = np.isin(kinds, common)
+            # Of a hash met before all are known; of one that the step has at three places or more, all but those at the first two.
+            known = np.empty(len(keep), bool)
+            known[order] = np.repeat(met, width) | (nth > 1)
+            common = np.union1d(common, kinds[(count > 2) & ~met])
+            told = _packets(((keep >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)[~known], False, keep[~known], docs[~known], tags[~known], runs[~known])
+            told += _packets(_bucket(docs[known], parts), True, docs[known], tags[known], runs[known])
+            yield _packet_rows(told)
 
     return run
 
@@ -152,40 +184,41 @@ def _by_document(docs: np.ndarray, tags: np.ndarray, values: np.ndarray) -> Iter
 
 
 def _rows(told: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.int32()), pa.array([t[2] for t in told], pa.binary())], names=["doc", "tag", "packed"])
+    return pa.record_batch([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.int64()), pa.array([t[2] for t in told], pa.binary())], names=["doc", "tag", "packed"])
 
 
 def _twice(parts: int):
-    """Of a part's owners those whose KEEP bytes stand at two places, packed by bucket of documents."""
+    """Of a part's owners those whose KEEP bytes stand at two places, packed by bucket of documents; known ones pass as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpack(x, *_POSTED) for b in batches for x in b.column(1).to_pylist()]
+        held = []
+        for b in batches:
+            told = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            held += [_unpack(x, *_POSTED) for _, known, x in told if not known]
+            yield _packet_rows([t for t in told if t[1]])
         if not held:
             return
-        keep = np.concatenate([h[0] for h in held])
+        keep, docs, tags, runs = (np.concatenate([h[i] for h in held]) for i in range(4))
+        del held
         _, inverse, count = np.unique(keep, return_inverse=True, return_counts=True)
         some = count[inverse] > 1
-        docs = np.concatenate([np.cumsum(h[1]) for h in held])[some]
-        tags, runs, inverse = np.concatenate([h[2] for h in held])[some], np.concatenate([h[3] for h in held])[some], inverse[some]
-        del held, keep, some
+        docs, tags, runs, inverse = docs[some], tags[some], runs[some], inverse[some]
+        del keep, some
         # A row that is repeated as a whole, or the two pieces of a cut text, show the same place again: that is no second place.
         order = np.lexsort((runs["at"], tags, docs, inverse))
         i, d, t, a = inverse[order], docs[order], tags[order], runs["at"][order]
         fresh = np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1])]) if len(i) else np.zeros(0, bool)
         real = np.bincount(i[fresh], minlength=len(count))[inverse] > 1
         docs, tags, runs = docs[real], tags[real], runs[real]
-        bucket = ((docs.astype(np.uint64) * _M1) >> np.uint64(33)) % np.uint64(parts)
-        order = np.lexsort((docs, bucket))
-        cuts = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
-        owns = [order[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
-        yield pa.record_batch([pa.array([int(bucket[o[0]]) for o in owns], pa.int32()), pa.array([_pack(docs[o], tags[o], runs[o]) for o in owns], pa.binary())], names=["part", "packed"])
+        order = np.argsort(docs, kind="stable")
+        yield _packet_rows(_packets(_bucket(docs[order], parts), True, docs[order], tags[order], runs[order]))
 
     return run
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's documents, each with all its runs."""
-    held = [_unpack(x, "<i8", "<u2", _RUN) for b in batches for x in b.column(1).to_pylist()]
+    held = [_unpack(x, "<i8", "<i8", _RUN) for b in batches for x in b.column(2).to_pylist()]
     told = list(_by_document(*(np.concatenate([h[i] for h in held]) for i in range(3)))) if held else []
     for lo in range(0, len(told), 5000):
         yield _rows(told[lo : lo + 5000])
@@ -326,7 +359,7 @@ def _sorted_buckets(splitters: list[bytes], parts: int):
                     part = (h >> np.uint64(33)) % np.uint64(parts)
                     for p in np.unique(part).tolist():
                         w = part == p
-                        told.append((p, 0, 0, _pack(h[w], g[w], doc[w].astype("<i8"), tag[w].astype("<i4"), start[w].astype("<u4"))))
+                        told.append((p, 0, 0, _pack(h[w], g[w], doc[w].astype("<i8"), tag[w].astype("<i8"), start[w].astype("<u4"))))
                 else:
                     told.extend((-1, *r) for r in _spans_of(*got))
 
@@ -346,14 +379,14 @@ def _sorted_buckets(splitters: list[bytes], parts: int):
                 flush(np.concatenate(slice_of), False)
         for lo in range(0, len(told), 5000):
             part = told[lo : lo + 5000]
-            yield pa.record_batch([pa.array([t[i] for t in part], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "doc", "tag", "packed"])
+            yield pa.record_batch([pa.array([t[i] for t in part], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "doc", "tag", "packed"])
 
     return run
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of windows from all buckets: what also stands earlier is removed."""
-    held = [_unpack(x, "<u8", "<u8", "<i8", "<i4", "<u4") for b in batches for x in b.column(1).to_pylist()]
+    held = [_unpack(x, "<u8", "<u8", "<i8", "<i8", "<u4") for b in batches for x in b.column(1).to_pylist()]
     if not held:
         return
     h, g, doc, tag, start = (np.concatenate([x[i] for x in held]) for i in range(5))
@@ -416,24 +449,24 @@ def _splitters(texts: DataFrame, buckets: int) -> list[bytes]:
     return sorted({leads[i * len(leads) // buckets] for i in range(1, buckets)}) if leads else []
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, piece: int = PIECE) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, kept (the bytes that stay) and spans (maximal removed runs of bytes, e exclusive).
 
     A byte goes if a WINDOW-byte string that covers it also starts earlier: in a document with a smaller id, or
     in its own before. Texts are UTF-8 bytes, null is empty, and strings never cross documents; a null id orders
     before all others. Rows that repeat an id and its text are judged as one document and get the same result; rows of one id with other texts
-    are judged apart, told apart by 16 bits of a hash of the text, and neither is earlier at equal starts. An empty table gives no rows; other columns are ignored.
+    are judged apart, told apart by a 64-bit hash of the text, and neither is earlier at equal starts. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     texts = _keyed(docs, id_col, text_col)
     splitters = _splitters(texts, buckets or parts)
-    squeezed = texts.mapInArrow(_compressed, "doc_id long, doc long, tag int, z binary")
-    packed = "part int, packed binary"
-    twice = texts.select("doc", "tag", "raw").mapInArrow(_posted(parts), packed).repartitionById(parts, F.col("part")).mapInArrow(_twice(parts), packed)
-    runs = twice.repartitionById(parts, F.col("part")).mapInArrow(_gathered, "doc long, tag int, packed binary")
+    squeezed = texts.mapInArrow(_compressed, "doc_id long, doc long, tag long, z binary")
+    packed = "part int, known boolean, packed binary"
+    twice = texts.select("doc", "tag", "raw").mapInArrow(_posted(parts, piece), packed).repartitionById(parts, F.col("part")).mapInArrow(_twice(parts), packed)
+    runs = twice.repartitionById(parts, F.col("part")).mapInArrow(_gathered, "doc long, tag long, packed binary")
     strings = squeezed.join(runs, ["doc", "tag"]).select("doc", "tag", "z", "packed").mapInArrow(_suffixes(splitters), "bucket int, meta binary, strings binary")
-    found = staged(strings.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(_sorted_buckets(splitters, parts), "part int, doc long, tag int, packed binary"), "suffix-spans")
-    across = found.where("part >= 0").select("part", "packed").repartitionById(parts, F.col("part")).mapInArrow(_across, "doc long, tag int, packed binary")
+    found = staged(strings.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(_sorted_buckets(splitters, parts), "part int, doc long, tag long, packed binary"), "suffix-spans")
+    across = found.where("part >= 0").select("part", "packed").repartitionById(parts, F.col("part")).mapInArrow(_across, "doc long, tag long, packed binary")
     gone = found.where("part < 0").select("doc", "tag", "packed").unionByName(across).groupBy("doc", "tag").agg(F.collect_list("packed").alias("packed"))
     return squeezed.join(gone, ["doc", "tag"], "left").select("doc_id", "z", "packed").mapInArrow(_cut, _OUT)

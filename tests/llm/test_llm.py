@@ -220,6 +220,17 @@ def test_suffix_dedup(docs, texts, buckets):
     assert got == brute_removed([*texts, (None, "a null id")])
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 150, 700])
+def test_suffix_dedup_of_a_common_line(spark, piece):
+    """A line that many documents of one task share, some of them repeated as whole rows, and texts that are cut into pieces."""
+    line = prose(30)
+    rows = [(i, f"{prose(9)} {line} {prose(9)}") for i in range(40)]
+    rows = [rows[0]] * 4 + rows + [(99, " ".join([line] * 9))]
+    for parts in (1, 3):
+        got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), [(s["s"], s["e"]) for s in r["spans"]]) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(parts), piece=piece).collect()}
+        assert got == brute_removed(dict(rows).items())
+
+
 def test_suffix_dedup_of_repeated_rows(spark):
     t = prose(60)
     rows = spark.createDataFrame([(1, t), (1, t), (2, t), (1, t + " more words at its end")], "doc_id long, text string")
