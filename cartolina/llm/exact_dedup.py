@@ -19,15 +19,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolina.llm.common import staged, two_columns
+from cartolina.llm.common import shuffle_parts, staged, two_columns
 
 #: Bytes of a bucket; doubled where the directory would need more than 2 ** MOST_BITS buckets (from 1 TB of entries on).
 CAPACITY = 4 << 20
 MOST_BITS = 18
 #: Leading bits beyond the usual depth that a bucket over capacity can still be split by.
 SPARE_BITS = 3
-#: Bytes that one owner reads, about, where there are more buckets than FEW_OWNERS.
-OWNED, FEW_OWNERS = 64 << 20, 4096
+#: Bytes that one owner reads, about, where that makes more owners than there are shuffle partitions.
+OWNED = 64 << 20
 #: Groups with more than this share of all rows, at most as many as its inverse, are told to their rows by a broadcast.
 HOT = 1 / 1024
 
@@ -129,7 +129,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = {r[0]: r[1] for r in held.groupBy(cell.alias("cell")).agg(F.sum(F.length("body") + 64)).collect()}  # at most 2 ** max_depth rows
     cells = directory(sizes, capacity, max_depth)
     buckets = cells[-1] + 1
-    owners = min(buckets, max(FEW_OWNERS, (total or 0) // OWNED))
+    owners = min(buckets, max(shuffle_parts(spark), (total or 0) // OWNED))
     shift = max_depth - (len(cells).bit_length() - 1)
     ranges = spark.createDataFrame([(i, b * owners // buckets) for i, b in enumerate(cells)], "cell int, owner int")  # at most 2 ** max_depth rows
     owned = held.withColumn("cell", F.shiftright(cell, shift).cast("int")).join(F.broadcast(ranges), "cell")

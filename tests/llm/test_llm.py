@@ -82,7 +82,6 @@ def test_exact_dedup_of_a_hot_group_and_many_buckets(spark, monkeypatch):
     got = lambda: {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, capacity=300).collect()}
     assert got() == want
     monkeypatch.setattr(exact_dedup, "MOST_BITS", 2)
-    monkeypatch.setattr(exact_dedup, "FEW_OWNERS", 2)
     assert got() == want
 
 
@@ -619,6 +618,24 @@ def test_pipeline_keeps_null_and_repeated_ids(spark):
     assert sum(mixed.values()) >= len(kept) and any(i is None for i, _ in mixed)
 
 
+def test_pipeline_on_empty_tables_clashing_columns_and_repeated_rows(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _row string, _cut int, _nth int, _twin int, size long, taken int, s int, words int"
+    r = random.Random(13)
+    made = [" ".join(spoken("aa", 1, r) for _ in range(40)) for _ in range(4)]
+    rows = [(i, t, "aa", None, 7, "mine", 1, 2, 3, 4, 5, 6, 7) for i, t in [*enumerate(made), (None, made[0] + " x"), (None, None), (3, made[3]), (3, "")]]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, spark.createDataFrame([], kind), "")
+        assert none.schema.names == kind.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and none.count() == 0, name
+        out = stage(spark, spark.createDataFrame(rows, kind), "").collect()
+        assert out and all(x["_row"] == "mine" and (x["_cut"], x["_nth"], x["_twin"], x["size"], x["taken"], x["s"], x["words"]) == (1, 2, 3, 4, 5, 6, 7) for x in out), name
+        if name == "exact_dedup":
+            assert sorted((x["doc_id"] for x in out), key=str) == sorted([0, 1, 2, 3, None, 3], key=str)
+        if name == "source_mix":
+            total = sum(len(words(x["text"])) for x in out)
+            assert total == 3 * sum(len(words(x[1])) for x in rows) // 2
+    assert corpus_pipeline.encode(spark, spark.createDataFrame([], kind), "").count() == 0
+
+
 def test_pipeline_mix_meets_targets(spark):
     r = random.Random(9)
     rows = [(i, f" {prose(r.randint(1, 60))}\t{WORDS[i]}\n", "en", "a", 0) for i in range(40)] + [(50, prose(3000), "en", "b", 0), (None, prose(1500), "en", "c", 0)]
