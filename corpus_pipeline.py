@@ -23,21 +23,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.accepted(docs, models)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, a hash of all columns: ids may be null or repeat with another text. Only rows that are equal throughout share it (others by chance, one pair in 2 ** 64)."""
-    return docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, or longer ones where docs has columns of these."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for n in (name + "_" * i for i in range(len(taken) + 1)) if n not in taken) for name in names]
 
 
-def _one_each(keyed: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two hashes of all columns, and their names: ids may be null or repeat with another text.
+
+    Rows are judged by the first hash. Rows that differ but share it, one pair in 2 ** 64, are told apart by the second: each of
+    them stays if any of them does.
+    """
+    row, twin = _free(docs, "_row", "_twin")
+    told = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
+    return docs.withColumns({row: F.xxhash64(*told), twin: F.xxhash64(F.lit(1), *told)}), row, twin
+
+
+def _one_each(keyed: DataFrame, row: str, twin: str) -> DataFrame:
     """One of each set of equal rows."""
-    return keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_nth = 1").drop("_nth")
+    (nth,) = _free(keyed, "_nth")
+    return keyed.withColumn(nth, F.row_number().over(Window.partitionBy(row, twin).orderBy(row))).where(F.col(nth) == 1).drop(nth)
 
 
-def _best(docs: DataFrame, keyed: DataFrame, told: DataFrame, best: Column) -> DataFrame:
+def _best(docs: DataFrame, keyed: DataFrame, row: str, twin: str, told: DataFrame, best: Column) -> DataFrame:
     """Of each group in told (_row, group) the row whose best, a struct that ends in _row, is chosen."""
-    rows = keyed.select("_row", "doc_id").distinct().join(told.distinct(), "_row")
-    kept = rows.groupBy("group").agg(best.alias("best")).select(F.col("best._row").alias("_row"))
-    return _one_each(keyed.join(kept, "_row", "left_semi")).select(*docs.columns)
+    rows = keyed.select(F.col(row).alias("_row"), "doc_id").distinct().join(told.distinct(), "_row")
+    kept = rows.groupBy("group").agg(best.alias("best")).select(F.col("best._row").alias(row)).distinct()
+    return _one_each(keyed.join(kept, row, "left_semi"), row, twin).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +58,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged by its own text, also where ids are null or repeat.
     """
-    keyed = _keyed(docs)
-    told = exact_dedup(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), F.unhex("text_sha256").alias("group"))
-    return _best(docs, keyed, told, F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "_row")))
+    keyed, row, twin = _keyed(docs)
+    told = exact_dedup(keyed, id_col=row).select(F.col("doc_id").alias("_row"), F.unhex("text_sha256").alias("group"))
+    return _best(docs, keyed, row, twin, told, F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "_row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,27 +68,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Each row is judged by its own text, also where ids are null or repeat. Of equal rows one stays.
     """
-    keyed = _keyed(docs)
-    told = jaccard_components(keyed, id_col="_row", k=5, percent=80).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
-    return _best(docs, keyed, told, F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")))
+    keyed, row, twin = _keyed(docs)
+    told = jaccard_components(keyed, id_col=row, k=5, percent=80).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    return _best(docs, keyed, row, twin, told, F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each row: its text as often as it is taken whole, and its first words where the target cuts it.
+    """The words that the mix takes of each row: its text as often as it is taken whole, and its first words where the last of its slots ends.
 
-    Each source has its target's words to the word. A cut text ends with its last word taken, and n_chars is its length. Null and
-    repeated ids do no harm.
+    A cut text ends with its last word taken, and n_chars is its length. Null and repeated ids do no harm.
     """
-    keyed = _keyed(docs)
-    told = mix(keyed, id_col="_row").documents().where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "taken")
-    both = _one_each(keyed).join(told, "_row")
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    keyed, row, twin = _keyed(docs)
+    size, taken, cut = _free(keyed, "_size", "_taken", "_cut")
+    told = mix(keyed, id_col=row).documents().where("taken > 0").select(F.col("doc_id").alias(row), F.col("size").alias(size), F.col("taken").alias(taken))
+    both = _one_each(keyed, row, twin).join(told, row)
+    whole, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), (F.col(taken) % F.col(size)).cast("int")
     parts = F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    both = both.withColumn("_cut", parts)
+    both = both.withColumn(cut, parts)
     words = F.regexp_extract_all("text", F.lit(f"{SPACES}*{WORD}"), F.lit(0))
-    text = F.when(F.col("_cut") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_cut"), F.lit(1))), "")).otherwise(F.col("text"))
+    text = F.when(F.col(cut) > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(cut), F.lit(1))), "")).otherwise(F.col("text"))
     both = both.withColumn("text", text)
-    n_chars = F.when(F.col("_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    n_chars = F.when(F.col(cut) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return both.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
