@@ -81,7 +81,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, row, twin = _keyed(docs)
     size, taken, cut = _free(keyed, "_size", "_taken", "_cut")
     told = mix(keyed, id_col=row).documents().where("taken > 0").select(F.col("doc_id").alias(row), F.col("size").alias(size), F.col("taken").alias(taken))
-    both = _one_each(keyed, row, twin).join(told, row)
+    both = _one_each(keyed.repartition(row), row, twin).join(told, row)  # one shuffle of the texts does for both
     whole, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), (F.col(taken) % F.col(size)).cast("int")
     parts = F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
     both = both.withColumn(cut, parts)
