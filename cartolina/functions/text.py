@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Fixed limits of owner and repository names.
 OWNER_PATTERN = r"^[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})$"
+REF_LENGTH = 255
 REPO_PATTERN = r"^[A-Za-z0-9._-]{1,100}$"
 
 
@@ -60,11 +61,21 @@ def bounded_int(value: Column, fallback: int, most: int) -> Column:
     return F.when((n >= 1) & (n <= most), n.cast("long")).otherwise(F.lit(fallback).cast("long"))
 
 
+#: White space, also beyond ASCII, as a class of a regular expression.
+_BLANK = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, rf"\A[{_BLANK}]+|[{_BLANK}]+\z", "")
+
+
 def valid_ref(ref: Column) -> Column:
-    """A branch, tag or commit that is safe to hand to git."""
-    shape = ref.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._/+@-]*\z") & (F.length(ref) <= 200)
-    bad = ref.contains("..") | ref.contains("//") | ref.contains("@{") | ref.endswith("/") | ref.endswith(".lock") | ref.endswith(".") | ref.rlike(r"/\.")
-    return F.coalesce(shape & ~bad, F.lit(False))
+    """A branch, tag or commit that is safe to hand to git: it can't be read as an option, and has none of git's own marks."""
+    plain = ref.rlike(rf"\A[^{_BLANK}\x00-\x1F\x7F~^:?*\[\\]{{1,{REF_LENGTH}}}\z")
+    edges = ref.rlike(r"\A[-/]") | ref.rlike(r"(?:/|\.|\.lock)\z")
+    inner = ref.contains("..") | ref.contains("//") | ref.contains("@{")
+    return F.coalesce(plain & ~edges & ~inner, F.lit(False))
 
 
 def valid_owner(owner: Column) -> Column:
@@ -75,23 +86,39 @@ def valid_repo(repo: Column) -> Column:
     return F.coalesce(repo.rlike(REPO_PATTERN) & ~repo.isin(".", ".."), F.lit(False))
 
 
+_HOST = r"(?i)\Agithub\.com[/:]"
+
+
 def repo_target(text: Column) -> Column:
-    """owner, repo and ref of a GitHub URL, ssh remote or owner/repo; null if it is none of these."""
-    trimmed = F.trim(text)
-    shape = r"^(?:(?:https?://)?(?:www\.)?github\.com/|git@github\.com:)?([^/\s:@#]+)/([^/\s#]+?)(?:\.git)?(?:/tree/([^\s#?]+?))?/?$"
-    part = lambda i: F.regexp_extract(trimmed, shape, i)
-    ref = F.nullif(part(3), F.lit(""))
-    fine = trimmed.rlike(shape) & valid_owner(part(1)) & valid_repo(part(2)) & (ref.isNull() | valid_ref(ref))
-    return F.when(fine, F.struct(part(1).alias("owner"), part(2).alias("repo"), ref.alias("ref")))
+    """owner, repo and ref of a GitHub URL, ssh remote or owner/repo; null if it is none of these.
+
+    Of a page within the repository only a tree or a blob names a ref: the one segment after it, as a branch with slashes can't be told from folders.
+    """
+    rest = F.regexp_replace(trimmed(text), r"(?i)\A(?:git@github\.com:)?(?:[a-z]+://)?(?:www\.)?", "")
+    other = ~rest.rlike(_HOST) & rest.rlike(r"(?i)\A[a-z0-9.-]+\.[a-z]{2,}/")
+    parts = F.filter(F.split(F.regexp_replace(rest, _HOST, ""), "/"), lambda x: x != "")
+    part = lambda i: F.try_element_at(parts, F.lit(i))
+    repo = F.regexp_replace(part(2), r"(?i)\.git\z", "")
+    ref = F.when(F.lower(part(3)).isin("tree", "blob"), part(4))
+    fine = ~other & valid_owner(part(1)) & valid_repo(repo)
+    return F.when(fine, F.struct(part(1).alias("owner"), repo.alias("repo"), ref.alias("ref")))
 
 
 def explicit_remote(text: Column) -> Column:
-    return F.coalesce(F.trim(text).rlike(r"^(?:https?://|git@|(?:www\.)?github\.com/)"), F.lit(False))
+    """Whether a text can only mean a remote: it has a scheme, the ssh form or GitHub's bare host."""
+    return F.coalesce(trimmed(text).rlike(r"(?i)\A(?:[a-z][a-z0-9+.-]*://|git@github\.com:|(?:www\.)?github\.com[/:])"), F.lit(False))
 
 
 def ref_slug(ref: Column) -> Column:
-    """A file name for a ref: its safe characters, and a short digest that keeps different refs apart."""
-    return F.concat(F.regexp_replace(ref, r"[^A-Za-z0-9._-]", "-"), F.lit("-"), F.substring(F.sha1(ref.cast("binary")), 1, 8))
+    """A file name for a ref: itself if all its characters are safe, else the safe ones with a digest that keeps different refs apart."""
+    safe = F.regexp_replace(ref, r"[^A-Za-z0-9._-]+", "-")
+    return F.when(safe == ref, ref).otherwise(F.concat(safe, F.lit("-"), F.substring(F.sha1(ref.cast("binary")), 1, 8)))
+
+
+def clone_dir(root: str, owner: Column, repo: Column, ref: Column) -> Column:
+    """Where a repository's clone lies; names differ in case only by spelling, and each ref has a folder of its own."""
+    at = F.when(ref.isNull(), "").otherwise(F.concat(F.lit("@"), ref_slug(ref)))
+    return F.concat(F.lit(f"{root.rstrip('/')}/repos/"), F.lower(owner), F.lit("/"), F.lower(repo), at)
 
 
 def repo_slug(owner: Column, repo: Column) -> Column:

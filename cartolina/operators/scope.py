@@ -5,41 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolina.functions.text import bare_name, path_tail
+from cartolina.functions.text import bare_name, path_tail, trimmed
 from cartolina.operators import graph
 from cartolina.operators.resolve import heritage_ids
 from cartolina.schema import CONFIDENCES
 
 
 def parse_traces(traces: DataFrame) -> DataFrame:
-    """trace_id, frame, fn, file, line from (trace_id, text): lines `at fn (path:line[:col])` or `at path:line[:col]`, in order."""
-    lines = traces.select("trace_id", F.posexplode(F.split("text", "\n")).alias("frame", "raw")).select("trace_id", "frame", F.trim("raw").alias("raw"))
-    body = F.trim(F.substring("raw", 4, 1 << 20))
-    framed = lines.where(F.col("raw").startswith("at ")).withColumn("body", body)
-    named = F.col("body").rlike(r"^.+? \(.*\)$")
-    place = F.when(named, F.regexp_extract("body", r" \((.*)\)$", 1)).otherwise(F.col("body"))
-    told = framed.select("trace_id", "frame", F.when(named, F.regexp_extract("body", r"^(.+?) \(", 1)).alias("fn"), place.alias("place"))
-    spot = r"^(.*?):([0-9]+)(?::[0-9]+)?$"
+    """trace_id, frame, fn, file, line from (trace_id, text): lines `at fn (path:line[:col])` or `at path:line[:col]`, in order.
+
+    White space around a line, before its brackets and before a path doesn't matter. A frame whose place has no line keeps its name alone; one with neither
+    is left out.
+    """
+    lines = traces.select("trace_id", F.posexplode(F.split("text", "\n")).alias("frame", "raw")).select("trace_id", "frame", trimmed(F.col("raw")).alias("raw"))
+    framed = lines.where(F.col("raw").startswith("at ")).withColumn("body", trimmed(F.substring("raw", 4, (1 << 31) - 1)))
+    shape = r"(?s)\A(.*?)\s*\(([^)]+)\)\z"
+    named = F.col("body").rlike(shape)
+    place = F.when(named, F.regexp_extract("body", shape, 2)).otherwise(F.col("body"))
+    fn = F.when(named, F.nullif(trimmed(F.regexp_extract("body", shape, 1)), F.lit("")))
+    told = framed.select("trace_id", "frame", fn.alias("fn"), place.alias("place"))
+    spot = r"(?s)\A(.*?):([0-9]+)(?::[0-9]+)?\z"
     located = F.col("place").rlike(spot)
-    return told.select("trace_id", "frame", "fn", F.when(located, F.regexp_extract("place", spot, 1)).alias("file"), F.when(located, F.regexp_extract("place", spot, 2).try_cast("int")).alias("line")).where("fn is not null or file is not null")
+    file = F.when(located, trimmed(F.regexp_extract("place", spot, 1)))
+    line = F.when(located, F.regexp_extract("place", spot, 2).try_cast("int"))
+    return told.select("trace_id", "frame", "fn", file.alias("file"), line.alias("line")).where("fn is not null or file is not null")
 
 
-def nearest_before(frames: DataFrame, decls: DataFrame, key: str, at: str, prefer=None) -> DataFrame:
-    """As-of join: each frame with the declaration of its key at or before its place, preferred ones first, then the nearest, then the first by seq.
+def nearest_before(frames: DataFrame, decls: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """As-of join: each frame with the declaration of its keys at or before its place: the nearest, of equally near ones the first by seq.
 
-    frames: frame_id, key, at; decls: decl_id, key, at, seq. One sorted pass over the union of both sides where nothing is preferred:
-    no pair of a frame and an earlier declaration is ever formed.
+    frames: frame_id, keys, at; decls: decl_id, keys, at, seq. One sorted pass over the union of both sides: no pair of a frame and an
+    earlier declaration is ever formed.
     """
-    if prefer is None:
-        sides = frames.select(key, at, F.lit(1).alias("_side"), F.lit(None).cast("long").alias("seq"), "frame_id", F.lit(None).alias("decl")).unionByName(
-            decls.select(key, at, F.lit(0).alias("_side"), F.col("seq").cast("long"), F.lit(None).alias("frame_id"), F.struct(F.col("decl_id"), F.col(at).alias("decl_at")).alias("decl")))
-        # Of declarations at one place the first is last in this order, so that it is the one that is found.
-        order = Window.partitionBy(key).orderBy(at, "_side", F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found = sides.withColumn("decl", F.last("decl", ignorenulls=True).over(order)).where("_side = 1 and decl is not null")
-        return found.select("frame_id", F.col("decl.decl_id").alias("decl_id"), F.col("decl.decl_at").alias("decl_at"))
-    pairs = frames.join(decls.withColumnRenamed(at, "_at"), key).where(F.col("_at") <= F.col(at))
-    best = pairs.groupBy("frame_id").agg(F.min_by(F.struct("decl_id", F.col("_at").alias("decl_at")), F.struct(~prefer, -F.col("_at"), F.col("seq"))).alias("decl"))
-    return best.select("frame_id", "decl.decl_id", "decl.decl_at")
+    none = F.lit(None)
+    asked = frames.select(*keys, at, F.lit(1).alias("_side"), none.cast("long").alias("seq"), "frame_id", none.alias("decl"))
+    told = F.struct(F.col("decl_id"), F.col(at).alias("decl_at"))
+    sides = asked.unionByName(decls.dropna(subset=keys).select(*keys, at, F.lit(0).alias("_side"), F.col("seq").cast("long"), none.alias("frame_id"), told.alias("decl")))
+    # Of declarations at one place the first is last in this order, so that it is the one that is found.
+    order = Window.partitionBy(*keys).orderBy(at, "_side", F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = sides.withColumn("decl", F.last("decl", ignorenulls=True).over(order)).where("_side = 1 and decl is not null")
+    return found.select("frame_id", F.col("decl.decl_id").alias("decl_id"), F.col("decl.decl_at").alias("decl_at"))
 
 
 def resolve_frames(frames: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -56,9 +61,10 @@ def resolve_frames(frames: DataFrame, modules: DataFrame, symbols: DataFrame) ->
     known = keyed.join(placed, "frame_id", "left")
     decls = symbols.select(F.col("id").alias("decl_id"), "module", "line", "seq", bare_name(F.col("name")).alias("bare"))
     lined = known.where("module is not null and line is not null").select("frame_id", "module", "line", "want")
-    above = nearest_before(lined, decls, "module", "line", F.coalesce(F.col("bare") == F.col("want"), F.lit(False)))
-    step1 = above.join(lined.select("frame_id", "want"), "frame_id").join(decls.select("decl_id", "bare").distinct(), "decl_id")
-    step1 = step1.select("frame_id", F.col("decl_id").alias("id"), F.when(F.col("bare") == F.col("want"), "exact").otherwise("resolved").alias("confidence"), F.lit(1).alias("step"))
+    # Two sorted passes: over the declarations of the frame's name, and over all.
+    own = nearest_before(lined.withColumn("bare", F.col("want")), decls, ["module", "bare"], "line")
+    above = nearest_before(lined, decls, ["module"], "line").join(own.select("frame_id", F.col("decl_id").alias("own")), "frame_id", "left")
+    step1 = above.select("frame_id", F.coalesce("own", "decl_id").alias("id"), F.when(F.col("own").isNotNull(), "exact").otherwise("resolved").alias("confidence"), F.lit(1).alias("step"))
     named = known.where("want is not null")
     step2 = named.join(decls, ["module"]).where("bare = want").groupBy("frame_id").agg(F.min_by("decl_id", "seq").alias("id")).select("frame_id", "id", F.lit("resolved").alias("confidence"), F.lit(2).alias("step"))
     single = decls.groupBy("bare").agg(F.count("*").alias("n"), F.min("decl_id").alias("id")).where("n = 1")
@@ -91,6 +97,6 @@ def suspects(modules: DataFrame, symbols: DataFrame, edges: DataFrame, anchor: s
 
 
 def best_anchor(anchors: DataFrame) -> DataFrame:
-    """Of (repo, repo_seq, id, confidence) the surest anchor; of equally sure ones the earliest repository's."""
-    rank = F.array_position(F.array(*map(F.lit, CONFIDENCES)), F.col("confidence"))
+    """Of (repo, repo_seq, id, confidence) the surest anchor; of equally sure ones the earliest repository's. An unknown confidence comes last."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, CONFIDENCES)), F.col("confidence")), F.lit(0)), F.lit(len(CONFIDENCES) + 1))
     return anchors.where("id is not null").withColumn("_rank", rank).orderBy("_rank", "repo_seq").limit(1).drop("_rank")

@@ -124,7 +124,7 @@ def frames_asof(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     frames = events.where("event_type = 'purchase'").select(F.col("event_id").alias("frame_id"), "user_id", "ts")
     decls = events.where("event_type = 'error'").select(F.col("event_id").alias("decl_id"), "user_id", "ts", F.col("event_id").alias("seq"))
-    return scope.nearest_before(frames, decls, "user_id", "ts").select("frame_id", "decl_id")
+    return scope.nearest_before(frames, decls, ["user_id"], "ts").select("frame_id", "decl_id")
 
 
 def parsed_traces(spark, sf_dir):

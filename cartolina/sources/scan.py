@@ -15,7 +15,7 @@ import tokenize
 from collections import Counter
 from dataclasses import dataclass, field
 
-from cartolina.sources.languages import BY_EXT, KEYWORDS, Language
+from cartolina.sources.languages import BY_EXT, CHARACTERS, KEYWORDS, LANGUAGES, NAME_TICKS, Language
 
 _COMMENTS = {
     "c": r"//[^\n]*|/\*.*?\*/",
@@ -24,8 +24,25 @@ _COMMENTS = {
     "dash": r"--\[\[.*?\]\]|--[^\n]*",
     "star": r"\(\*.*?\*\)",
 }
-_STRINGS = r'"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
-_TOKEN = {k: re.compile(rf"(?P<skip>{c})|(?P<str>{_STRINGS})|(?P<id>[@$]?[A-Za-z_][A-Za-z0-9_]*[?!]?)|(?P<op>=>|->|::|[^\s\w])", re.S) for k, c in _COMMENTS.items()}
+_DOUBLE = r'"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"'
+_SINGLE = r"'(?:\\.|[^'\\\n])*'"
+_CHARACTER = r"'(?:\\(?:u\{?[0-9A-Fa-f]+\}?|x[0-9A-Fa-f]+|[0-7]{1,3}|.)|[^'\\\n])'"
+_TICKED = r"`(?:\\.|[^`\\])*`"
+
+
+def _strings(name: str) -> str:
+    ticks = "" if name in NAME_TICKS or name == "typescript" else f"|{_TICKED}"
+    return f"{_DOUBLE}|{_CHARACTER if name in CHARACTERS else _SINGLE}{ticks}"
+
+
+_TOKEN = {
+    lang.name: re.compile(rf"(?P<skip>{_COMMENTS[lang.comments]})|(?P<str>{_strings(lang.name)})|(?P<id>[@$]?[A-Za-z_][A-Za-z0-9_]*[?!]?)|(?P<op>=>|->|::|[^\s\w])", re.S)
+    for lang in LANGUAGES
+    if lang.comments in _COMMENTS
+}
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: After these a slash begins a regular expression, not a division.
+_BEFORE_REGEX = frozenset(("", "(", ",", "=", ":", "[", "!", "&", "|", "?", "{", "}", ";", "=>", "return", "typeof", "case", "in", "of"))
 _STUBS = {"typescript": ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")}
 
 
@@ -98,18 +115,86 @@ def _python(rel: str, text: str) -> Parsed:
 
 class _Scanner:
     def __init__(self, lang: Language, text: str, out: Parsed):
-        self.lang, self.out = lang, out
+        self.lang, self.out, self.text, self.keywords = lang, out, text, KEYWORDS[lang.name]
         self.tokens: list[tuple[str, int]] = []
-        line, at = 1, 0
-        for m in _TOKEN[lang.comments].finditer(text):
-            line += text.count("\n", at, m.start())
-            at = m.start()
-            if m.lastgroup in ("id", "op"):
-                self.tokens.append((m[0], line))
-            elif m.lastgroup == "str":
-                self.tokens.append(("''", line))
+        self.places: list[tuple[int, int]] = []  # where each token stands in the text
+        self._line, self._at = 1, 0
+        self._tokenise(0, len(text))
+        self.closing = self._brackets()
         #: Open blocks: what opened it, the symbol that owns it, its class.
         self.stack: list[tuple[str, str | None, str | None]] = []
+        #: Expressions that are a function's whole body: where they end, and the function.
+        self.bodies: list[tuple[int, str]] = []
+
+    def _put(self, word: str, start: int, end: int) -> None:
+        self._line += self.text.count("\n", self._at, start)
+        self._at = start
+        self.tokens.append((word, self._line))
+        self.places.append((start, end))
+
+    def _tokenise(self, at: int, end: int) -> None:
+        token, script = _TOKEN[self.lang.name], self.lang.name == "typescript"
+        while at < end:
+            m = token.search(self.text, at, end)
+            if not m:
+                return
+            at = m.end()
+            if m.lastgroup == "str":
+                self._put("''", m.start(), at)
+            elif script and m[0] == "`":
+                at = self._template(m.start(), end)
+            elif script and m[0] == "/" and (self.tokens[-1][0] if self.tokens else "") in _BEFORE_REGEX and (r := _REGEX.match(self.text, m.start(), end)):
+                at = r.end()
+                self._put("''", m.start(), at)
+            elif m.lastgroup in ("id", "op"):
+                self._put(m[0], m.start(), at)
+
+    def _template(self, start: int, end: int) -> int:
+        """A template string: a string with what its ${} hold in brackets after it; where it ends."""
+        self._put("''", start, start + 1)
+        at = start + 1
+        while at < end and self.text[at] != "`":
+            if self.text[at] == "\\":
+                at += 2
+            elif self.text.startswith("${", at):
+                close = self._hole(at + 2, end)
+                self._put("[", at, at + 2)
+                self._tokenise(at + 2, close)
+                self._put("]", close, close + 1)
+                at = close + 1
+            else:
+                at += 1
+        return min(at + 1, end)
+
+    def _hole(self, at: int, end: int) -> int:
+        """Where the bracket closes that opened a template string's expression; strings and templates within are passed over."""
+        depth = 0
+        while at < end:
+            c = self.text[at]
+            if c in "\"'":
+                m = re.compile(f"{_DOUBLE}|{_SINGLE}").match(self.text, at, end)
+                at = m.end() if m else at + 1
+                continue
+            if c == "`":
+                at += 1
+                while at < end and self.text[at] != "`":
+                    at = self._hole(at + 2, end) + 1 if self.text.startswith("${", at) else at + 1 + (self.text[at] == "\\")
+            elif c == "}" and depth == 0:
+                return at
+            depth += (c == "{") - (c == "}")
+            at += 1
+        return end
+
+    def _brackets(self) -> dict[int, int]:
+        """The place of each bracket's counterpart."""
+        out, open_at = {}, {")": [], "]": [], "}": []}
+        pairs = {"(": ")", "[": "]", "{": "}"}
+        for i, (w, _) in enumerate(self.tokens):
+            if w in pairs:
+                open_at[pairs[w]].append(i)
+            elif w in open_at and open_at[w]:
+                out[open_at[w].pop()] = i
+        return out
 
     def word(self, i: int) -> str:
         return self.tokens[i][0] if 0 <= i < len(self.tokens) else ""
@@ -119,14 +204,15 @@ class _Scanner:
 
     def is_name(self, i: int) -> bool:
         w = self.word(i)
-        return bool(w) and (w[0].isalpha() or w[0] in "_$") and w not in KEYWORDS
+        return bool(w) and (w[0].isalpha() or w[0] in "_$") and w not in self.keywords
 
     def close(self, i: int) -> int:
         """The place of the bracket that closes the one at i."""
-        pairs, depth = {"(": ")", "[": "]", "{": "}", "<": ">"}, 0
-        a, b = self.word(i), pairs[self.word(i)]
+        if self.word(i) != "<":
+            return self.closing.get(i, len(self.tokens) - 1)
+        depth = 0
         for j in range(i, len(self.tokens)):
-            depth += (self.word(j) == a) - (self.word(j) == b)
+            depth += (self.word(j) == "<") - (self.word(j) == ">")
             if depth == 0:
                 return j
         return len(self.tokens) - 1
@@ -147,9 +233,10 @@ class _Scanner:
     def inside(self) -> bool:
         return any(kind == "function" for kind, _, _ in self.stack)
 
-    @property
-    def owner(self) -> str | None:
-        return next((o for _, o, _ in reversed(self.stack) if o), None)
+    def owner(self, i: int) -> str | None:
+        while self.bodies and self.bodies[-1][0] <= i:
+            self.bodies.pop()
+        return self.bodies[-1][1] if self.bodies else next((o for _, o, _ in reversed(self.stack) if o), None)
 
     @property
     def cls(self) -> str | None:
@@ -160,7 +247,7 @@ class _Scanner:
 
     def run(self) -> None:
         for w, _ in self.tokens:
-            if (w[0].isalpha() or w[0] in "_$") and w not in KEYWORDS:
+            if (w[0].isalpha() or w[0] in "_$") and w not in self.keywords:
                 self.out.idents[w.lstrip("$")] += 1
         ends = self.lang.blocks == "end"
         pending: tuple[str, str | None, str | None] | None = None
@@ -188,10 +275,24 @@ class _Scanner:
                 self.stack.pop()
             elif self.opens(i):
                 self.stack.append(("block", None, self.cls))
-            if self.lang.calls and (not self.stack or self.stack[-1][0] != "class") and self.is_name(i) and self.word(i + 1) == "(" and w not in ("require", "require_relative"):
-                self.out.calls.append((self.owner, w.lstrip("$")))
+            if self.lang.calls and self.is_call(i):
+                self.out.calls.append((self.owner(i), w.lstrip("$")))
             i += 1
 
+    def is_call(self, i: int) -> bool:
+        if not self.is_name(i) or self.word(i) in ("require", "require_relative"):
+            return False
+        script = self.lang.name == "typescript"
+        if script and self.word(i - 1) == "new" and self.word(i + 1) not in ("(", "<", ".", "["):
+            return True  # new without arguments
+        if self.word(i + 1) != "(":
+            return False
+        if self.stack and self.stack[-1][0] == "class" and not (script and self.word(i - 1) in ("=", "new", ".", "(", ",", "=>", "&", "|", "?", ":", "[", "!", "await")):
+            return False
+        # In an object a name with parameters and a body is a method.
+        close = self.close(i + 1)
+        return not (script and self.word(close + 1) == "{" and self.line(close) == self.line(close + 1) and self.word(i - 1) in ("{", ",", "async", "get", "set", "*"))
+
     def opens(self, i: int) -> bool:
         """Whether a word opens a block that `end` closes, beside declarations."""
         w, first = self.word(i), i == 0 or self.line(i - 1) != self.line(i)
@@ -237,7 +338,7 @@ class _Scanner:
         while lang.name == "elixir" and self.word(j) == ".":
             name, j = f"{name}.{self.word(j + 1)}", j + 2
         head, start = [], j
-        while j < len(self.tokens) and self.word(j) not in ("{", ";", "}") and j - start < 120:
+        while j < len(self.tokens) and self.word(j) not in ("{", ";", "}"):
             if lang.blocks == "end" and (self.line(j) != self.line(i) or self.word(j) == "do"):
                 break
             if lang.name in ("kotlin", "scala", "swift", "objc") and self.line(j) != self.line(j - 1) and self.word(j - 1) not in (",", ":", "(", "extends", "with") and self.word(j) not in (":", "extends", "with", ")"):
@@ -254,13 +355,17 @@ class _Scanner:
             return None
         before = self.statement(i)
         self.add(name, lang.classes[self.word(i)], i, self.exported(name, before), None)
+        if lang.name == "typescript":
+            if self.word(i) == "class":
+                self.bases(name, start, j)
+            head = []
         kind, fresh = "extends", False
         for h in head:
             if h in ("extends", "with", ":", "<", "implements"):
-                kind, fresh = ("implements" if h == "implements" and lang.name == "typescript" else "extends"), lang.heritage == "words" and h in ("extends", "implements", "with") or lang.heritage == "colon" and h == ":" or lang.heritage == "less" and h == "<"
+                fresh = lang.heritage == "words" and h in ("extends", "implements", "with") or lang.heritage == "colon" and h == ":" or lang.heritage == "less" and h == "<"
             elif h == ",":
                 continue
-            elif fresh and (h[0].isalpha() or h[0] == "_") and h not in KEYWORDS and h != name:
+            elif fresh and (h[0].isalpha() or h[0] == "_") and h not in self.keywords and h != name:
                 self.out.bases.append((name, h, kind))
         if lang.name == "objc":
             self.stack.append(("class", name, name))
@@ -269,6 +374,27 @@ class _Scanner:
             j += 1
         return (("class", name, name) if self.word(j) == "{" or lang.blocks == "end" else None), j
 
+    def bases(self, name: str, start: int, end: int) -> None:
+        """TypeScript: what a class extends and implements, as it is written but for type arguments."""
+        kind, first, last, j = None, None, None, start
+
+        def put() -> None:
+            if kind and first is not None:
+                self.out.bases.append((name, self.text[self.places[first][0] : self.places[last][1]], kind))
+
+        while j < end:
+            w = self.word(j)
+            if w in ("extends", "implements", ","):
+                put()
+                kind, first = kind if w == "," else w, None
+            elif w == "<":
+                j = self.close(j)
+            elif kind:
+                first = j if first is None else first
+                j = last = self.close(j) if w in ("(", "[") else j
+            j += 1
+        put()
+
     def a_function(self, i: int) -> tuple[tuple | None, int] | None:
         lang, j, cls = self.lang, i + 1, self.cls
         before = self.statement(i)
@@ -285,13 +411,15 @@ class _Scanner:
             name, j = self.word(j + 1), j + 2
         if lang.name == "kotlin" and self.word(j) == ".":
             name, j = self.word(j + 1), j + 2
-        if self.inside:
-            return (("block", None, None), j) if lang.blocks == "end" else None
+        nested = self.inside and lang.name != "typescript"
+        if nested and lang.blocks == "end":
+            return ("block", None, None), j
         shown = self.exported(name, before) if lang.exported != "def" else self.word(i) == "def"
         full = f"{cls}.{name}" if cls else name
         if lang.name == "typescript":
             full, cls = name, None
-        self.add(full, "method" if cls else "function", i, shown, cls)
+        if not nested:  # of functions within others the inner ones are no symbols, and what they call is the outer one's
+            self.add(full, "method" if cls else "function", i, shown, cls)
         if self.word(j) == "<":
             j = self.close(j) + 1
         if self.word(j) == "(":
@@ -310,7 +438,18 @@ class _Scanner:
             j += 1
         if self.word(j) != "{":
             return None, j
-        return ("function", full, None), j
+        return ("block", None, None) if nested else ("function", full, None), j
+
+    def body_end(self, i: int) -> int:
+        """Where an expression that begins at i ends."""
+        joins = ("(", "[", "{", ".", "?", ":", "&", "|", "+", "-", "*", "/", "=", ",", "=>", "<", ">", "!")
+        j = i
+        while j < len(self.tokens):
+            w = self.word(j)
+            if w in (")", "]", "}", ";", ",") or j > i and self.line(j) != self.line(j - 1) and w not in joins and self.word(j - 1) not in joins:
+                return j
+            j = self.close(j) + 1 if w in ("(", "[", "{") else j + 1
+        return j
 
     def a_script(self, i: int) -> tuple[tuple | None, int] | None:
         """TypeScript and JavaScript: aliases, functions held by variables, methods."""
@@ -337,17 +476,24 @@ class _Scanner:
                 self.add(name, "function", i, "export" in self.statement(i), None)
                 if self.word(j) == "function":
                     return ("function", name, None), self.close(j + 1) + 1 if self.word(j + 1) == "(" else j + 2
-                return (("function", name, None) if self.word(arrow + 1) == "{" else None), arrow + 1
+                if self.word(arrow + 1) != "{":
+                    self.bodies.append((self.body_end(arrow + 1), name))
+                    return None, arrow + 1
+                return ("function", name, None), arrow + 1
             return None
-        if self.stack and self.stack[-1][0] == "class" and self.is_name(i) and self.word(i + 1) in ("(", "<") and self.word(i - 1) not in (".", "new", "=", "(", ",", "@") and w != "constructor":
+        at_class = self.stack and self.stack[-1][0] == "class"
+        if at_class and self.is_name(i) and self.word(i + 1) in ("(", "<") and self.word(i - 1) not in (".", "new", "=", "(", ",", "=>", "&", "|", "?", ":", "[", "!", "await", "@"):
             j = self.close(i + 1) + 1 if self.word(i + 1) == "<" else i + 1
             j = self.close(j) + 1
-            while self.word(j) not in ("{", ";", "}", "=", "") and j - i < 80:
-                j += 1
-            if self.word(j) == "{":
-                full = f"{self.cls}.{w}"
-                self.add(full, "method", i, False, self.cls)
-                return ("function", full, None), j
+            while j < len(self.tokens) and self.word(j) not in (";", "}", "=") and (self.word(j) != "{" or self.word(j - 1) in (":", "|", "&", "<", ",")):
+                if self.word(j) not in ("{", "(", "[", ":", "<", "|", "&", ",", ">") and self.line(j) != self.line(j - 1) and self.word(j - 1) not in (":", "|", "&", "<", ","):
+                    break  # a signature without body that ends with its line
+                j = self.close(j) + 1 if self.word(j) in ("{", "(", "[") else j + 1
+            if w == "constructor" or self.word(i - 1) in ("get", "set"):
+                return (("block", None, None), j) if self.word(j) == "{" else (None, j)
+            full = f"{self.cls}.{w}"
+            self.add(full, "method", i, False, self.cls)
+            return (("function", full, None) if self.word(j) == "{" else None), j
         return None
 
     def a_typed(self, i: int) -> tuple[tuple | None, int] | None:
@@ -373,7 +519,7 @@ class _Scanner:
         if not before and not ctor and not cls or name.startswith("@"):
             return None
         j = self.close(i + 1) + 1
-        while self.word(j) not in ("{", ";", "}", "=>", "=", "") and j - i < 160:
+        while self.word(j) not in ("{", ";", "}", "=>", "=", ""):
             j = self.close(j) + 1 if self.word(j) in ("(", "[") else j + 1
         if self.word(j) != "{" and not (self.word(j) in ("=>", ";") and cls and before and lang.name in ("java", "csharp", "dart")):
             return None
@@ -383,13 +529,13 @@ class _Scanner:
 
 
 def _ocaml(text: str, out: Parsed) -> None:
-    bare = re.sub(_COMMENTS["star"] + "|" + _STRINGS, lambda m: "\n" * m[0].count("\n"), text, flags=re.S)
+    bare = re.sub(_COMMENTS["star"] + "|" + _strings("ocaml"), lambda m: "\n" * m[0].count("\n"), text, flags=re.S)
     for n, row in enumerate(bare.split("\n"), 1):
         m = re.match(r"\s*(let|and|type|val)\s+(?:rec\s+)?([a-z_][\w']*)([^=\n]*)", row)
         if m and not row[:1].isspace():
             kind = "type" if m[1] == "type" else "function" if m[3].split(":")[0].strip() or m[1] == "val" and "->" in m[3] else "variable"
             out.symbols.append((m[2], kind, n, not m[2].startswith("_"), None))
-    out.idents.update(w for w in re.findall(r"[A-Za-z_][\w']*", bare) if w not in KEYWORDS)
+    out.idents.update(w for w in re.findall(r"[A-Za-z_][\w']*", bare) if w not in KEYWORDS["ocaml"])
 
 
 _SPECS = {

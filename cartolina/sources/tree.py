@@ -15,8 +15,8 @@ from cartolina.functions.text import glob_regex
 from cartolina.schema import GRAPH
 from cartolina.sources.languages import BY_EXT
 
-# Folders that hold no source of their own.
-SKIPPED = ("node_modules", "dist", "build", "out", "target", "vendor", "venv", "env", "__pycache__", "site-packages", "coverage", "htmlcov", "eggs", "wheels", "bower_components", "third_party", "obj", "docs", "doc")
+# Names of folders that hold no source of their own, beside all that begin with a dot.
+SKIPPED = ("node_modules", "dist", "build", "coverage", "vendor", "__pycache__", "venv", "target", "htmlcov", "site-packages", "docs", "doc")
 SKIPPED_ENDS = (".egg-info", ".dist-info", ".egg")
 SCAN_MOST = 25_000
 
