@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolina.functions.text import bare_name, estimated_tokens
+from cartolina.functions.text import bare_name, estimated_tokens, plural, short_sha
 
 FIND_MOST, LIST_MOST = 30, 50
 BRIEF_TOKENS = 4000
@@ -67,35 +67,76 @@ def _named(rows: DataFrame, keys: list[str], name, order: list, most: int, overf
     return listed.select(*keys, F.concat(F.array_join(F.transform("l", lambda x: x["_name"]), ", "), more).alias("text"))
 
 
-def brief(repos: DataFrame, modules: DataFrame, symbols: DataFrame, group: str = "group", budget: int = BRIEF_TOKENS, stale: list[str] | None = None) -> DataFrame:
-    """text, level, omitted: a summary of all repositories at the most detailed of five levels that fits the budget; the first always does.
+def brief_lists(repos: DataFrame, modules: DataFrame, symbols: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The lists of a brief by title, each with one row a repository that has any: repo, text.
 
-    repos: repo, language, neighborhoodLabels, generatedAt, commit. Sections: totals (1), hubs (2), neighbourhoods (3), largest modules (4), key exports (5).
+    Hubs with their links; neighbourhoods, where there are several, with their sizes; the largest modules with their symbols; the
+    exported symbols that are referred to most, with kind, path and line. Ties go by Unicode collation.
     """
     collated = lambda c: F.collate(F.col(c), "UNICODE")
-    counts = repos.select("repo").join(modules.groupBy("repo").agg(F.count("*").alias("m")), "repo", "left").join(symbols.groupBy("repo").agg(F.count("*").alias("s")), "repo", "left").na.fill(0)
-    head = repos.join(counts, "repo").select("repo", F.concat(F.lit("## "), F.col("repo"), F.lit("\n"), F.col("m").cast("string"), F.lit(" modules, "), F.col("s").cast("string"), F.lit(" symbols; "), F.array_join("language", ", "), F.when(F.col("repo").isin(stale or [""]), "\nWarning: the source has changed since this was made.").otherwise("")).alias("text"))
     labels = repos.select("repo", F.explode("neighborhoodLabels").alias("k", "label")).select("repo", F.col("k").cast("int").alias("neighborhood"), "label")
-    sizes = modules.where("neighborhood is not null").groupBy("repo", "neighborhood").agg(F.count("*").alias("n")).join(labels, ["repo", "neighborhood"], "left").withColumn("label", F.coalesce("label", F.concat(F.lit("neighborhood "), F.col("neighborhood").cast("string"))))
+    sizes = modules.where("neighborhood is not null").groupBy("repo", "neighborhood").agg(F.count("*").alias("n"))
+    sizes = sizes.join(repos.where("neighborhoodLabels is not null").select("repo"), "repo", "left_semi").join(labels, ["repo", "neighborhood"], "left")
+    sizes = sizes.withColumn("label", F.coalesce("label", F.concat(F.lit("#"), F.col("neighborhood").cast("string"))))
     several = sizes.groupBy("repo").count().where("count > 1").select("repo")
-    with_paths = symbols.where("exported").join(modules.select(F.col("id").alias("module"), "path").distinct(), "module", "left")
-    number = lambda c: F.col(c).cast("string")
-    sections = [
-        ("hubs", _named(modules.where("hub"), ["repo"], F.concat("path", F.lit(" ("), number("degree"), F.lit(")")), [F.desc("degree"), collated("path")], CAPS["hubs"])),
-        ("neighborhoods", _named(sizes.join(several, "repo", "left_semi"), ["repo"], F.concat("label", F.lit(" ("), number("n"), F.lit(")")), [F.desc("n"), collated("label")], CAPS["neighborhoods"])),
-        ("largest modules", _named(modules, ["repo"], F.concat("path", F.lit(" ("), number("symbolCount"), F.lit(")")), [F.desc("symbolCount"), collated("path")], CAPS["modules"], False)),
-        ("key exports", _named(with_paths, ["repo"], F.concat("name", F.lit(" ("), F.coalesce("path", "module"), F.lit(")")), [F.desc("refCount"), collated("name"), collated("id")], CAPS["exports"])),
+    paths = modules.select(F.col("id").alias("module"), "path").distinct()
+    exported = symbols.where("exported").join(paths, "module", "left").withColumn("_refs", F.coalesce("refCount", F.lit(0)))
+    said = lambda *parts: F.concat(*(F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts))
+    place = F.concat(F.coalesce("path", "module"), F.lit(":"), F.col("line").cast("string"))
+    hubs = modules.where("hub").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return [
+        ("hubs", _named(hubs, ["repo"], said("$path", " (", "$degree", " links)"), [F.desc("degree"), collated("path")], CAPS["hubs"])),
+        ("neighborhoods", _named(sizes.join(several, "repo", "left_semi"), ["repo"], said("$label", " (", "$n", ")"), [F.desc("n"), collated("label")], CAPS["neighborhoods"])),
+        ("largest modules", _named(modules, ["repo"], said("$path", " (", "$symbolCount", ")"), [F.desc("symbolCount"), collated("path")], CAPS["modules"], False)),
+        ("key exports", _named(exported, ["repo"], F.concat(said("$name", " [", "$kind", "] "), place), [F.desc("_refs"), collated("name"), collated("id")], CAPS["exports"])),
     ]
-    lines = head.withColumn("level", F.lit(1)).withColumn("title", F.lit(""))
-    for i, (title, rows) in enumerate(sections, 2):
-        lines = lines.unionByName(rows.withColumn("text", F.concat(F.lit(f"{title}: "), "text")).withColumn("level", F.lit(i)).withColumn("title", F.lit(title)))
-    top = counts.agg(F.count("*").alias("r"), F.sum("m").alias("m"), F.sum("s").alias("s")).join(repos.agg(F.coalesce(F.max(F.col("generatedAt").cast("string")), F.lit("unknown")).alias("at")))
-    start = F.concat(F.lit(f"# {group}: "), number("r"), F.lit(" repos, "), number("m"), F.lit(" modules, "), number("s"), F.lit(" symbols (generated "), "at", F.lit(")"))
-    levels = repos.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("depth"))
-    told = lines.join(F.broadcast(levels), F.col("level") <= F.col("depth")).groupBy("depth").agg(F.array_sort(F.collect_list(F.struct(collated("repo").alias("c"), "level", "text"))).alias("l"))
-    names = [t for t, _ in sections]
-    omitted = F.slice(F.array(*map(F.lit, names)), F.col("depth"), 4)
-    note = F.when(F.size(omitted) > 0, F.concat(F.lit("\n(omitted: "), F.array_join(omitted, ", "), F.lit(")"))).otherwise("")
-    text = F.concat(start, F.lit("\n"), F.array_join(F.transform("l", lambda x: x["text"]), "\n"), note)
-    full = told.join(F.broadcast(top)).select("depth", text.alias("text"), omitted.alias("omitted"))
-    return full.where((estimated_tokens(F.col("text")) <= budget) | (F.col("depth") == 1)).orderBy(F.desc("depth")).limit(1).select("text", F.col("depth").alias("level"), "omitted")
+
+
+#: What is said of each list behind its title.
+_NOTES = {"hubs": " (widest reach of a change)", "neighborhoods": " (by imports and calls, not by folder)", "largest modules": "", "key exports": " (by references)"}
+
+
+def brief(
+    repos: DataFrame, modules: DataFrame, symbols: DataFrame, group: str = "group", budget: int = BRIEF_TOKENS, stale: list[str] | None = None, repo: str | None = None
+) -> DataFrame:
+    """text, level, omitted: a summary of all repositories, or of one, at the most detailed of five levels that fits the budget; the first always does.
+
+    repos: repo, language, neighborhoodLabels, generatedAt, commit, dirty. Level 1 has totals and a line for each repository with its commit,
+    whether its tree was changed, and its languages; levels 2 to 5 add one list of brief_lists each. stale: repositories whose source has changed since.
+    """
+    if repo is not None:
+        repos, modules, symbols = (rows.where(F.col("repo") == repo) for rows in (repos, modules, symbols))
+    collated = lambda c: F.collate(F.col(c), "UNICODE")
+    tally = lambda rows, name: rows.groupBy("repo").agg(F.count("*").alias(name))
+    counts = repos.select("repo").join(tally(modules, "m"), "repo", "left").join(tally(symbols, "s"), "repo", "left").na.fill(0)
+    changed = F.when(F.coalesce(F.col("dirty"), F.lit(False)), " (dirty)").otherwise("")
+    commit = F.when(F.col("commit").isNotNull(), F.concat(F.lit(" @ "), short_sha(F.col("commit")), changed)).otherwise("")
+    languages = F.when(F.size("language") > 0, F.array_join("language", ", ")).otherwise("no supported files")
+    own = F.concat(F.lit("## "), F.col("repo"), commit, F.lit(" ("), languages, F.lit("): "), plural(F.col("m"), "module"), F.lit(", "), plural(F.col("s"), "symbol"))
+    lines = repos.join(counts, "repo").select("repo", own.alias("text"), F.lit(1).alias("level"))
+    titles = []
+    for i, (title, rows) in enumerate(brief_lists(repos, modules, symbols), 2):
+        titles.append(title)
+        lines = lines.unionByName(rows.select("repo", F.concat(F.lit(f"{title}{_NOTES[title]}: "), "text").alias("text"), F.lit(i).alias("level")))
+    sums = counts.agg(F.count("*").alias("r"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"))
+    named = F.array_sort(F.collect_list(F.when(F.col("repo").isin(stale), F.col("repo")))) if stale else F.array().cast("array<string>")
+    top = sums.join(repos.agg(F.coalesce(F.max(F.col("generatedAt").cast("string")), F.lit("unknown")).alias("at"), named.alias("stale")))
+    warning = F.when(
+        F.size("stale") > 0,
+        F.concat(F.lit("WARNING: the map is stale for "), F.array_join("stale", ", "), F.lit("; files and lines may be wrong. Make it again with: extract --if-stale")),
+    )
+    start = F.concat(plural(F.col("r"), "repo"), F.lit(", "), F.col("m").cast("string"), F.lit(" modules, "), F.col("s").cast("string"), F.lit(" symbols. Extracted "), F.col("at"), F.lit("."))
+    caveat = "Edges tell how sure they are (exact, resolved, inferred); an inferred one is a guess. refCount counts names: 0 means that the indexed code has none, not that code is dead."
+    levels = repos.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("depth"))  # five rows
+    shown = lines.join(F.broadcast(levels), F.col("level") <= F.col("depth"))
+    sections = shown.groupBy("depth", "repo").agg(F.array_sort(F.collect_list(F.struct("level", "text"))).alias("l"))
+    sections = sections.select("depth", F.struct(collated("repo").alias("c"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")).alias("x"))
+    told = levels.join(sections.groupBy("depth").agg(F.array_sort(F.collect_list("x")).alias("l")), "depth", "left")
+    omitted = F.slice(F.array(*map(F.lit, titles)), F.col("depth"), 4)
+    note = F.when(F.size(omitted) > 0, F.concat(F.lit("(left out to fit the budget: "), F.array_join(omitted, ", "), F.lit("; a larger --budget includes them)")))
+    bodies = F.array_join(F.transform(F.coalesce("l", F.array()), lambda x: x["text"]), "\n\n")
+    deeper = F.lit("More: scope --symbol <name> or --trace <file> ranks what lies around a symptom.")
+    text = F.concat(F.concat_ws("\n\n", F.lit(f"# {group}: architecture brief"), start, warning, F.lit(caveat), F.nullif(bodies, F.lit("")), note, deeper), F.lit("\n"))
+    full = told.join(F.broadcast(top)).select("depth", text.alias("text"), omitted.alias("omitted"))  # one row
+    fits = (estimated_tokens(F.col("text")) <= budget) | (F.col("depth") == 1)
+    return full.where(fits).orderBy(F.desc("depth")).limit(1).select("text", F.col("depth").alias("level"), "omitted")

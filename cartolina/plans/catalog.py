@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cartolina.functions import text as fn
 from cartolina.operators import graph, layout, resolve, scope, tools, upkeep
+from cartolina.plans import code_queries
 from cartolina.streaming import admission
 
 
@@ -61,10 +62,12 @@ def _symbols(spark, sf_dir):
 
 
 def ref_counts(spark, sf_dir):
-    # Declared as in the SQL twin: by every third part.
-    symbols = _symbols(spark, sf_dir).where("seq % 3 = 0").withColumn("repo", F.col("module"))
+    """Every part declares its name in its brand, and every line of an order refers to one."""
     part = _table(spark, sf_dir, "part")
-    idents = part.groupBy(F.concat(F.lit("r:"), "p_brand").alias("repo"), _names().alias("name")).agg(F.count("*").alias("n")).withColumn("engine", F.lit("e"))
+    brand = F.concat(F.lit("r:"), "p_brand").alias("repo")
+    symbols = part.select(brand, F.lit("e").alias("engine"), _names().alias("name"))
+    used = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    idents = part.join(used, F.col("p_partkey") == F.col("l_partkey")).select(brand, F.lit("e").alias("engine"), _names().alias("name"), "n")
     return resolve.reference_counts(symbols, idents)
 
 
@@ -127,12 +130,6 @@ def frames_asof(spark, sf_dir):
     return scope.nearest_before(frames, decls, ["user_id"], "ts").select("frame_id", "decl_id")
 
 
-def parsed_traces(spark, sf_dir):
-    lines = F.concat(F.lit("Error: x\n  at "), "event_type", F.lit(" (src/"), F.col("user_id").cast("string"), F.lit(".ts:"), F.col("event_id").cast("string"), F.lit(":1)\n  at src/"), F.col("user_id").cast("string"), F.lit(".ts:7"))
-    traces = _table(spark, sf_dir, "events").select(F.col("event_id").alias("trace_id"), lines.alias("text"))
-    return scope.parse_traces(traces).select("trace_id", F.col("frame").cast("long").alias("frame"), "fn", "file", F.col("line").cast("long").alias("line"))
-
-
 def _places(spark, sf_dir):
     n, c, s = (_table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
     named = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
@@ -217,11 +214,19 @@ def community_layout(spark, sf_dir):
     return layout.placed(nodes.withColumns({"radius": F.lit(12.0), "ax": F.lit(None).cast("double"), "ay": F.lit(None).cast("double")}), edges)
 
 
-QUERIES = {f.__name__: f for f in (graph_adjacency, graph_hubs, graph_coupling, ref_counts, resolved_calls, import_edges, dangling_imports, line_counts, language_lists, find_symbol, module_info, frames_asof, parsed_traces, graph_reach, best_anchors, eviction, fingerprints, statuses, cache_bytes, url_predicates, brief_tokens, brief_lists, admissions, communities, community_layout)}
+QUERIES = code_queries.QUERIES | {f.__name__: f for f in (graph_adjacency, graph_hubs, graph_coupling, ref_counts, resolved_calls, import_edges, dangling_imports, line_counts, language_lists, find_symbol, module_info, frames_asof, graph_reach, best_anchors, eviction, fingerprints, statuses, cache_bytes, url_predicates, brief_tokens, brief_lists, admissions, communities, community_layout)}
 
 _PARTS = "SELECT 'r:' || p_brand AS brand, p_name || '#' || p_size AS name, 'r:' || p_brand || ':' || p_partkey AS id, p_partkey FROM part"
 
-ORACLE_SQL = {
+ORACLE_SQL = code_queries.ORACLE_SQL | {
+    "admissions": """
+        WITH RECURSIVE e AS (SELECT 'g' || event_id % 40 AS gate, event_id AS seq, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS now, row_number() OVER (PARTITION BY event_id % 40 ORDER BY event_id) AS n FROM events),
+        s AS (SELECT gate, seq, n, 200 AS status, CAST(NULL AS INTEGER) AS retry_s, 1 AS starts, now AS since FROM e WHERE n = 1
+            UNION ALL SELECT e.gate, e.seq, e.n, CASE WHEN now - since < 3600000 AND starts >= 3 THEN 429 ELSE 200 END,
+                CASE WHEN now - since < 3600000 AND starts >= 3 THEN greatest(1, CAST(ceil((since + 3600000 - now) / 1000.0) AS INTEGER)) END,
+                CASE WHEN now - since >= 3600000 THEN 1 WHEN starts >= 3 THEN starts ELSE starts + 1 END, CASE WHEN now - since >= 3600000 THEN now ELSE since END
+            FROM s JOIN e ON e.gate = s.gate AND e.n = s.n + 1)
+        SELECT gate, seq, status, retry_s FROM s""",
     "graph_adjacency": f"""
         WITH e AS ({_TRADE}), p AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e)
         SELECT u, v, count(*) AS w FROM p GROUP BY u, v""",
@@ -233,7 +238,7 @@ ORACLE_SQL = {
         WITH e AS ({_TRADE} UNION ALL SELECT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem), p AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e)
         SELECT u AS id, count(*) AS degree FROM p GROUP BY u""",
     "ref_counts": f"""
-        WITH p AS ({_PARTS}), d AS (SELECT brand, name, count(*) AS n FROM p WHERE p_partkey % 3 = 0 GROUP BY ALL), i AS (SELECT brand, name, count(*) AS n FROM p GROUP BY ALL)
+        WITH p AS ({_PARTS}), d AS (SELECT brand, name, count(*) AS n FROM p GROUP BY ALL), i AS (SELECT brand, name, count(*) AS n FROM p JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL)
         SELECT d.brand AS repo, 'e' AS engine, d.name AS bare, greatest(0, coalesce(i.n, 0) - d.n) AS "refCount" FROM d LEFT JOIN i USING (brand, name)""",
     "resolved_calls": f"""
         WITH p AS ({_PARTS}), s AS (SELECT * FROM p WHERE p_partkey % 3 = 0), h AS (SELECT brand, name, count(*) AS n, min(id) AS id FROM s GROUP BY ALL),
@@ -267,9 +272,6 @@ ORACLE_SQL = {
         WITH f AS (SELECT * FROM events WHERE event_type = 'purchase'), d AS (SELECT * FROM events WHERE event_type = 'error'),
         r AS (SELECT f.event_id AS frame_id, d.event_id AS decl_id, row_number() OVER (PARTITION BY f.event_id ORDER BY d.ts DESC, d.event_id) AS rn FROM f JOIN d ON f.user_id = d.user_id AND d.ts <= f.ts)
         SELECT frame_id, decl_id FROM r WHERE rn = 1""",
-    "parsed_traces": """
-        SELECT event_id AS trace_id, 1::BIGINT AS frame, event_type AS fn, 'src/' || user_id || '.ts' AS file, event_id AS line FROM events
-        UNION ALL SELECT event_id, 2, NULL, 'src/' || user_id || '.ts', 7 FROM events""",
     "graph_reach": """
         WITH RECURSIVE e AS (SELECT 'c:' || c_custkey AS a, 'n:' || c_nationkey AS b FROM customer UNION SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier UNION SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation),
         u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT 's:1' AS id, 0 AS hops UNION SELECT u.b, w.hops + 1 FROM w JOIN u ON u.a = w.id WHERE w.hops < 3)
@@ -292,7 +294,8 @@ ORACLE_SQL = {
     "cache_bytes": "SELECT source AS slug, CAST(sum(n_chars) FILTER (WHERE doc_id % 97 <> 0) AS BIGINT) AS bytes, bool_or(doc_id % 97 = 0) AS remeasure FROM documents GROUP BY source",
     "url_predicates": r"""
         WITH p AS (SELECT page_id, url, regexp_replace(url, '^https?://[^/]+/?', '') AS path FROM pages)
-        SELECT page_id, regexp_full_match(path, '[A-Za-z0-9][A-Za-z0-9._/+@-]*') AND length(path) <= 200 AND NOT (contains(path, '..') OR contains(path, '//') OR contains(path, '@{') OR suffix(path, '/') OR suffix(path, '.lock') OR suffix(path, '.') OR contains(path, '/.')) AS ref_ok,
+        SELECT page_id, path <> '' AND length(path) <= 255 AND NOT (starts_with(path, '-') OR starts_with(path, '/') OR suffix(path, '/') OR suffix(path, '.') OR suffix(path, '.lock') OR contains(path, '..')
+                   OR contains(path, '//') OR contains(path, '@{') OR regexp_matches(path, '[\s~^:?*\[\\[:cntrl:]]')) AS ref_ok,
                regexp_matches(path, '^de(/.*)?$') OR regexp_matches(path, '^[^/]*[.]html$') OR regexp_matches(split_part(path, '/', -1), '^[^/]*[.]html$') OR regexp_matches(path, '^(.*/)?p[^/]$') OR regexp_matches(split_part(path, '/', -1), '^de(/.*)?$') AS ignored,
                replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe,
                array_to_string(list_slice(string_split(path, '/'), -2, -1), '/') AS tail FROM p""",

@@ -58,7 +58,7 @@ def _parsed(go_modules: dict[str, str | None]):
     return run
 
 
-def _imports(rows: DataFrame) -> DataFrame:
+def code_imports(rows: DataFrame) -> DataFrame:
     """Import edges: candidates become paths by equality joins, the first that exists is the target."""
     files = rows.where("tag = 'module'").select("repo", "engine", "rel", "module", "seq")
     options = rows.where("tag = 'option'").select("repo", "engine", F.col("module").alias("from"), F.col("other").alias("spec"), F.col("name").alias("path"), "how", "priority")
@@ -91,7 +91,7 @@ def build(spark: SparkSession, repos: dict[str, str], ignore: list[str] | None =
     raw = rows.where("tag = 'call'").select("repo", F.col("name").alias("from"), "module", F.col("other").alias("callee"), "seq")
     calls = resolve.resolved_calls(symbols, raw).withColumn("seq", F.lit(1 << 58).cast("long"))
     bases = rows.where("tag = 'base'").select("repo", F.col("name").alias("from"), F.col("other").alias("to"), "kind", F.lit("inferred").alias("confidence"), "seq")
-    edges = _imports(rows).unionByName(bases).unionByName(calls.select("repo", "from", "to", "kind", "confidence", "seq")).persist()
+    edges = code_imports(rows).unionByName(bases).unionByName(calls.select("repo", "from", "to", "kind", "confidence", "seq")).persist()
     modules = _analysed(modules, edges).persist()
     if with_layout:
         modules = _placed_modules(modules, edges)
