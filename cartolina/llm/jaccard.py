@@ -33,6 +33,8 @@ CELLS = 1 << 24
 SKETCH_SHARDS = 64
 #: Groups with more members are split, and their members first compared with one leader.
 GROUP = 256
+#: Sets that ask one part of a group in one task, about; where more ask, copies of its union, and of its members, are dealt to several tasks.
+ASKED = 512
 MORE = 10
 SELDOM = 8
 #: Sets of a group differ in size by less than this factor.
@@ -558,7 +560,9 @@ def _led(k: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, group: int = GROUP, bits: int = 64) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, group: int = GROUP, bits: int = 64, asked: int = ASKED
+) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
     A text's set is its distinct k-word shingles, or its one whole sequence if it has fewer words; two texts link if 100 *
@@ -580,19 +584,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         packed = packed.mapInArrow(step, _PACKED).repartitionById(parts, F.col("part"))
     packed = packed.mapInArrow(_probes(percent, parts), _PACKED).repartitionById(parts, F.col("part"))
     probes = packed.mapInArrow(_qualified(percent), "handle long, home long, group long")
-    asked = staged(probes.join(first, "handle").select(F.col("rep").alias("doc_id"), "group", "home"), "jaccard-probes")
+    probed = staged(probes.join(first, "handle").select(F.col("rep").alias("doc_id"), "group", "home"), "jaccard-probes")
     with small_batches(spark):
-        tops = components(_links_of(texts, asked, k, percent, group)).withColumnRenamed("id", "rep")
+        tops = components(_links_of(texts, probed, k, percent, group, asked)).withColumnRenamed("id", "rep")
     told = first.join(tops, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
     return sized.join(told, "mark", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: int) -> DataFrame:
+def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: int, crowded: int) -> DataFrame:
     """a, b: links that join all components. asked: each set's home group and a group that it qualifies for, its home or another.
 
     A group of up to `group` members is one part, a larger one several; each member of a large one is first compared with the group's
     leader. The members of a part are compared with each other by one task, which also stores the part's union. Sets from elsewhere, and
     members of large groups that don't link to the leader, ask the unions of all parts, and those that qualify are compared with the part's members.
+    Where more than `crowded` ask, several tasks hold the same union, or the same members, each for some of them.
     """
     parts_of = shuffle_parts(texts.sparkSession)
     members = asked.select("doc_id", F.col("home").alias("group")).distinct()
@@ -614,14 +619,24 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     mine = own.join(packed, "doc_id").select("group", "part", "doc_id", "core", "asked", "z")
     united = mine.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part")
     united = staged(united.mapInArrow(_united(k, percent), "a long, b long, group long, part long, least long, most long, tokens binary"), "jaccard-unions")
-    loose = core.where("not core").select("doc_id", "group").unionByName(asks).join(busy, "group")
-    loose = loose.select("group", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id").join(packed, "doc_id")
-    unions = united.where("tokens is not null").select("group", "part", F.lit(None).cast("long").alias("doc_id"), "least", "most", "tokens", F.lit(None).cast("binary").alias("z"))
-    asking = unions.unionByName(loose, allowMissingColumns=True)
+    loose = staged(core.where("not core").select("doc_id", "group").unionByName(asks), "jaccard-asking")
+    salts = lambda n: F.ceil(n / crowded).cast("long")
+    dealt = lambda salt: (F.shiftleft("part", 32) + salt).alias("part")
+    own_salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("salts"))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    crowd = loose.groupBy("group").agg(salts(F.count("*")).alias("salts"))
+    coming = loose.join(busy, "group").join(crowd, "group")
+    coming = coming.select("group", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id", "salts")
+    coming = coming.select("group", dealt(own_salt), "doc_id").join(packed, "doc_id")
+    stored = united.where("tokens is not null").select("group", "part", "least", "most", "tokens").join(crowd, "group")
+    stored = stored.select("*", every_salt).select("group", dealt(F.col("salt")), "least", "most", "tokens")
+    asking = stored.unionByName(coming, allowMissingColumns=True).select("group", "part", "doc_id", "least", "most", "tokens", "z")
     asking = asking.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", F.asc_nulls_first("doc_id"))
-    good = staged(asking.select(*unions.columns).mapInArrow(_bounded(k, percent), "doc_id long, group long, part long"), "jaccard-qualified")
-    opening = own.join(good.select("group", "part").distinct(), ["group", "part"]).select("group", "part", F.lit(False).alias("query"), "doc_id", "core")
-    coming = good.select("group", "part", F.lit(True).alias("query"), "doc_id", F.lit(None).cast("boolean").alias("core"))
+    good = asking.mapInArrow(_bounded(k, percent), "doc_id long, group long, part long").withColumn("part", F.shiftright("part", 32))
+    good = staged(good, "jaccard-qualified")
+    crowd = good.groupBy("group", "part").agg(salts(F.count("*")).alias("salts"))
+    opening = own.join(crowd, ["group", "part"]).select("*", every_salt).select("group", dealt(F.col("salt")), F.lit(False).alias("query"), "doc_id", "core")
+    coming = good.join(crowd, ["group", "part"]).select("group", dealt(own_salt), F.lit(True).alias("query"), "doc_id", F.lit(None).cast("boolean").alias("core"))
     rows = opening.unionByName(coming).join(packed, "doc_id").select("group", "part", "query", "doc_id", "core", "z")
     opened = rows.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", "query").mapInArrow(_opened(k, percent), "a long, b long")
     known = led.where("core and doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))

@@ -132,8 +132,8 @@ def test_sets_with_one_handle_stay_apart(docs, texts, bits):
     assert got == brute_components(texts)
 
 
-@pytest.mark.parametrize("group", [4, 256])
-def test_jaccard_of_a_large_group_whose_members_do_not_link_to_the_leader(spark, group):
+@pytest.mark.parametrize(("group", "asked"), [(4, 2), (4, 512), (256, 512)])
+def test_jaccard_of_a_large_group_whose_members_do_not_link_to_the_leader(spark, group, asked):
     """Texts that share their seldom words but differ otherwise, with families among them, and near copies from other groups."""
     r = random.Random(21)
     shared = [f"shared{i}" for i in range(12)]
@@ -147,7 +147,7 @@ def test_jaccard_of_a_large_group_whose_members_do_not_link_to_the_leader(spark,
             rows.append((len(rows), " ".join(w)))
     rows += [(len(rows) + i, " ".join(f"y{i % 3}{j}" for j in range(50 + i // 9))) for i in range(27)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(docs, group=group).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(docs, group=group, asked=asked).collect()}
     assert got == brute_components(rows)
 
 
