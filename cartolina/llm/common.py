@@ -30,9 +30,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to shared storage and read again: its lineage ends there and outlives executors."""
+def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """The frame written to shared storage and read again: its lineage ends there and outlives executors.
+
+    narrow: its rows are a few dozen bytes, so that a shuffle to files of a sensible size costs little beside one small file a task.
+    """
     path = scratch(df.sparkSession, name)
+    if narrow:
+        df = df.hint("rebalance")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

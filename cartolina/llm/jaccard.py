@@ -612,7 +612,7 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     large = homes.where(F.col("m") > group)
     leading = large.where("doc_id = leader").join(packed, "doc_id").groupBy("group").agg(F.min("z").alias("leading"))
     beside = large.join(packed, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "z", "leading")
-    led = staged(beside.mapInArrow(_led(k, percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led")
+    led = staged(beside.mapInArrow(_led(k, percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led", narrow=True)
     core = led.select("doc_id", "group", "core")
     parts = F.ceil(F.col("m") / group).cast("long")
     own = homes.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).join(core, ["doc_id", "group"], "left")
@@ -633,7 +633,7 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     asking = stored.unionByName(coming, allowMissingColumns=True).select("group", "part", "doc_id", "least", "most", "tokens", "z")
     asking = asking.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", F.asc_nulls_first("doc_id"))
     good = asking.mapInArrow(_bounded(k, percent), "doc_id long, group long, part long").withColumn("part", F.shiftright("part", 32))
-    good = staged(good, "jaccard-qualified")
+    good = staged(good, "jaccard-qualified", narrow=True)
     crowd = good.groupBy("group", "part").agg(salts(F.count("*")).alias("salts"))
     opening = own.join(crowd, ["group", "part"]).select("*", every_salt).select("group", dealt(F.col("salt")), F.lit(False).alias("query"), "doc_id", "core")
     coming = good.join(crowd, ["group", "part"]).select("group", dealt(own_salt), F.lit(True).alias("query"), "doc_id", F.lit(None).cast("boolean").alias("core"))

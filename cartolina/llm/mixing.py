@@ -57,7 +57,7 @@ class Mix:
     ):
         """block: words a slot takes, by default as many as make SLOTS slots. One row a source is held on the driver; sources are few beside documents."""
         spark = docs.sparkSession
-        sized = staged(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+        sized = staged(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes", narrow=True)
         held = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
         held.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in held]

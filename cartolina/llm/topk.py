@@ -112,7 +112,7 @@ def _block_hits(rows: DataFrame, block: list[tuple[int, np.ndarray]], k: int) ->
             if len(ids):
                 yield pa.record_batch([pa.array([i] * len(ids), pa.int64()), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
-    hits = staged(rows.mapInArrow(search, _HITS), "topk-hits")
+    hits = staged(rows.mapInArrow(search, _HITS), "topk-hits", narrow=True)
     held.unpersist()
     return hits
 
