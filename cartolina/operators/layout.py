@@ -27,8 +27,102 @@ def anchors(ids: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(n)).select("id", (WIDTH / 2 + r * F.cos(angle)).alias("ax"), (HEIGHT / 2 + r * F.sin(angle)).alias("ay"))
 
 
-def simulate(radius: np.ndarray, ax: np.ndarray, ay: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """Positions after TICKS cooling steps of spring, charge, pull and collision forces (all pairs: groups are small)."""
+#: Groups of up to so many nodes are reckoned pair by pair, larger ones by cells.
+PAIRS = 512
+#: Nodes of a finest cell, about.
+FULL = 4
+
+
+def _expanded(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges that begin at first: the number of the range, and each of its places."""
+    which = np.repeat(np.arange(len(first)), count)
+    return which, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[which]
+
+
+def near_pairs(at: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered pairs of nodes in the same cell or in neighbouring cells of this size; every pair nearer than the size is among them."""
+    cell = np.floor((at - at.min(axis=0)) / size).astype(np.int64)
+    width = int(cell[:, 1].max()) + 3
+    key = (cell[:, 0] + 1) * width + cell[:, 1] + 1
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    left, right = [], []
+    for dx in (-1, 0, 1):
+        asked = key + dx * width
+        lo, hi = np.searchsorted(held, asked - 1), np.searchsorted(held, asked + 1, side="right")  # three cells in a row
+        i, j = _expanded(lo, hi - lo)
+        left.append(i)
+        right.append(order[j])
+    i, j = np.concatenate(left), np.concatenate(right)
+    return i[i != j], j[i != j]
+
+
+def _repelled(at: np.ndarray, strength: float) -> np.ndarray:
+    """The charge forces on all nodes: from near ones singly, from others by the middle of their cell, the larger the farther it is."""
+    n = len(at)
+    if n <= PAIRS:
+        gap = at[None] - at[:, None]
+        square = np.maximum((gap**2).sum(axis=2), 1.0)
+        np.fill_diagonal(square, np.inf)
+        return (gap * (strength / square)[:, :, None]).sum(axis=1)
+    low, side = at.min(axis=0), float(np.ptp(at, axis=0).max()) + 1e-9
+    force, depth = np.zeros((n, 2)), max(2, int(np.ceil(np.log2(n / FULL) / 2)))
+    for level in range(2, depth + 1):
+        g = 1 << level
+        cell = np.minimum(((at - low) / side * g).astype(np.int64), g - 1)
+        key = cell[:, 0] * g + cell[:, 1]
+        weight = np.bincount(key, minlength=g * g)
+        middle = np.stack([np.bincount(key, at[:, k], g * g) for k in (0, 1)], axis=1) / np.maximum(weight, 1)[:, None]
+        for dx in range(-3, 4):
+            for dy in range(-3, 4):
+                if max(abs(dx), abs(dy)) < 2:
+                    continue
+                x, y = cell[:, 0] + dx, cell[:, 1] + dy
+                # Cells whose parents are neighbours; farther ones were reckoned on the level above.
+                ok = (x >= 0) & (x < g) & (y >= 0) & (y < g) & (abs(x // 2 - cell[:, 0] // 2) < 2) & (abs(y // 2 - cell[:, 1] // 2) < 2)
+                who = np.flatnonzero(ok)
+                other = x[who] * g + y[who]
+                who, other = who[weight[other] > 0], other[weight[other] > 0]
+                gap = middle[other] - at[who]
+                force[who] += gap * (strength * weight[other] / np.maximum((gap**2).sum(axis=1), 1.0))[:, None]
+    g = 1 << depth
+    cell = np.minimum(((at - low) / side * g).astype(np.int64), g - 1)
+    key = (cell[:, 0] + 1) * (g + 2) + cell[:, 1] + 1
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    for dx in (-1, 0, 1):
+        lo, hi = np.searchsorted(held, key + dx * (g + 2) - 1), np.searchsorted(held, key + dx * (g + 2) + 1, side="right")
+        done = np.concatenate([[0], np.cumsum(hi - lo)])
+        begin = 0
+        while begin < n:  # so many pairs at a time, however crowded a cell is
+            end = max(begin + 1, int(np.searchsorted(done, done[begin] + (1 << 21), side="right")) - 1)
+            i, j = _expanded(lo[begin:end], (hi - lo)[begin:end])
+            i, j = i + begin, order[j]
+            gap = at[j] - at[i]
+            square = np.where(i == j, np.inf, np.maximum((gap**2).sum(axis=1), 1.0))
+            for k in (0, 1):
+                force[:, k] += np.bincount(i, gap[:, k] * strength / square, n)
+            begin = end
+    return force
+
+
+def _parted(ahead: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """What moves overlapping nodes apart, the smaller the more."""
+    n = len(ahead)
+    if n <= PAIRS:
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+        i, j = i[i != j], j[i != j]
+    else:
+        i, j = near_pairs(ahead, 2 * float(radius.max()) + 2 * PADDING)
+    gap = ahead[i] - ahead[j]
+    length = np.sqrt(np.maximum((gap**2).sum(axis=1), 1e-12))
+    reach = radius[i] + radius[j] + 2 * PADDING
+    over = np.where(length < reach, (reach - length) / length / 2, 0.0) * radius[j] ** 2 / (radius[i] ** 2 + radius[j] ** 2)
+    return np.stack([np.bincount(i, gap[:, k] * over, n) for k in (0, 1)], axis=1)
+
+
+def simulate(radius: np.ndarray, ax: np.ndarray, ay: np.ndarray, links: np.ndarray, ticks: int = TICKS) -> np.ndarray:
+    """Positions after TICKS cooling steps of spring, charge, pull and collision forces."""
     n = len(radius)
     i = np.arange(n)
     spiral = 10 * np.sqrt(0.5 + i)
@@ -39,7 +133,7 @@ def simulate(radius: np.ndarray, ax: np.ndarray, ay: np.ndarray, links: np.ndarr
     pull = np.where(np.isnan(ax), PULL, ANCHORED_PULL)[:, None]
     charge = CHARGE * min(1.0, 30 / max(n, 1))
     heat, cooling = 1.0, 1 - 0.001 ** (1 / TICKS)
-    for _ in range(TICKS):
+    for _ in range(ticks):
         heat -= heat * cooling
         if len(links):
             a, b = links[:, 0], links[:, 1]
@@ -49,18 +143,9 @@ def simulate(radius: np.ndarray, ax: np.ndarray, ay: np.ndarray, links: np.ndarr
             share = (degree[a] / (degree[a] + degree[b]))[:, None]
             np.add.at(speed, b, -force * share)
             np.add.at(speed, a, force * (1 - share))
-        gap = at[None] - at[:, None]
-        square = np.maximum((gap**2).sum(axis=2), 1.0)
-        np.fill_diagonal(square, np.inf)
-        speed += (gap * (charge * heat / square)[:, :, None]).sum(axis=1)
+        speed += _repelled(at, charge * heat)
         speed += (goal - at) * pull * heat
-        ahead = at + speed
-        gap = ahead[:, None] - ahead[None]
-        length = np.sqrt(np.maximum((gap**2).sum(axis=2), 1e-12))
-        reach = radius[:, None] + radius[None] + 2 * PADDING
-        over = np.where(length < reach, (reach - length) / length / 2, 0.0)
-        np.fill_diagonal(over, 0.0)
-        speed += (gap * over[:, :, None] * (radius[None] ** 2 / (radius[:, None] ** 2 + radius[None] ** 2))[:, :, None]).sum(axis=1)
+        speed += _parted(at + speed, radius)
         speed *= 0.6
         at = at + speed
     return np.round(at, 2)

@@ -140,3 +140,21 @@ def test_layout_is_deterministic(spark):
     links = _frame(spark, [("r", f"n{i}", f"n{i // 2}") for i in range(1, 12)], "repo string, `from` string, `to` string")
     runs = [{r["id"]: (r["x"], r["y"]) for r in layout.placed(n, links).collect()} for n in (nodes, nodes.orderBy("id", ascending=False))]
     assert runs[0] == runs[1] and len(set(runs[0].values())) == 12
+
+
+def test_forces_by_cells_are_near_those_by_pairs(monkeypatch):
+    import numpy as np
+
+    from cartolina.operators import layout
+
+    r = np.random.default_rng(5)
+    at = np.concatenate([r.normal(0, 300, (500, 2)), r.normal(900, 20, (300, 2)), np.zeros((5, 2))])
+    radius = r.uniform(10, 40, len(at))
+    by_cells, apart = layout._repelled(at, -3.0), layout._parted(at, radius)
+    i, j = layout.near_pairs(at, 50.0)
+    found = set(zip(i.tolist(), j.tolist()))
+    near = np.argwhere((((at[:, None] - at[None]) ** 2).sum(axis=2) < 2500) & ~np.eye(len(at), dtype=bool))
+    assert len(found) == len(i) and {tuple(p) for p in near.tolist()} <= found
+    monkeypatch.setattr(layout, "PAIRS", 10_000)
+    exact = layout._repelled(at, -3.0)
+    assert np.linalg.norm(by_cells - exact) < 0.1 * np.linalg.norm(exact) and np.allclose(apart, layout._parted(at, radius))
