@@ -96,6 +96,44 @@ def suspects(modules: DataFrame, symbols: DataFrame, edges: DataFrame, anchor: s
     return told.orderBy(F.desc("score"), F.collate(F.col("id"), "UNICODE")).limit(top), cut
 
 
+def anchored(frames: DataFrame | None, name: str, modules: DataFrame, symbols: DataFrame) -> tuple[str | None, str]:
+    """The symbol that a trace's first resolvable frame, or without frames a bare name, leads to in one repository, and how surely."""
+    if frames is None:
+        return named_anchor(symbols, name)
+    hit = resolve_frames(frames, modules, symbols).where("id is not null").orderBy("frame").first()
+    return (hit["id"], hit["confidence"]) if hit else (None, "none")
+
+
+def scoped(graphs: dict[str, DataFrame], query: str, repo: str | None = None, hops: int = 2, most: int = 40, top: int = 8) -> dict:
+    """What a trace or a name leads to: the surest anchor of all repositories, the earliest of equally sure ones, and the symbols around it.
+
+    A repository is one step on the driver; there are few, and the first exact anchor ends the search. What comes back is at most `top` rows.
+    """
+    spark = graphs["repos"].sparkSession
+    parsed = parse_traces(spark.createDataFrame([(0, query)], "trace_id int, text string"))
+    frames = parsed if parsed.limit(1).count() else None
+    names = [r["repo"] for r in graphs["repos"].select("repo").orderBy("repo").collect() if repo in (None, r["repo"])]
+    best, where = (None, "none"), None
+    for name in names:
+        own = {k: v.where(F.col("repo") == name) for k, v in graphs.items()}
+        found = anchored(frames, query.strip(), own["modules"], own["symbols"])
+        if CONFIDENCES.index(found[1]) < CONFIDENCES.index(best[1]):
+            best, where = found, name
+        if best[1] == CONFIDENCES[0]:
+            break
+    out = {"anchor": {"query": query, "resolved": best[0], "confidence": best[1]}, "suspects": [], "truncated": False}
+    if best[0] is None:
+        return out
+    own = {k: v.where(F.col("repo") == where) for k, v in graphs.items()}
+    rows, cut = suspects(own["modules"], own["symbols"], own["edges"], best[0], hops, most, top)
+    for r in rows.collect():
+        reasons = ["matched the throwing frame" if r["hops"] == 0 else f"{r['hops']} hop{'s' * (r['hops'] > 1)} from the symptom"]
+        reasons += ["no references found in this repo"] * bool(r["unreferenced"])
+        told = {"id": r["id"], "name": r["name"], "kind": r["kind"], "file": r["path"], "line": r["line"], "hops": r["hops"], "score": r["score"], "reasons": reasons}
+        out["suspects"].append(told)
+    return out | {"truncated": cut, "repo": where}
+
+
 def best_anchor(anchors: DataFrame) -> DataFrame:
     """Of (repo, repo_seq, id, confidence) the surest anchor; of equally sure ones the earliest repository's. An unknown confidence comes last."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, CONFIDENCES)), F.col("confidence")), F.lit(0)), F.lit(len(CONFIDENCES) + 1))

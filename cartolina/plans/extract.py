@@ -166,13 +166,14 @@ def write(graphs: dict[str, DataFrame], folder: str, group: str = "group") -> li
 
 
 def check(spark: SparkSession, folder: str, repos: dict[str, str], ignore: list[str] | None = None) -> DataFrame:
-    """repo, status of a written map against the trees as they are."""
+    """repo, status, commit, refName, dirty (as they were when it was written) of a written map against the trees as they are."""
     with open(os.path.join(folder, "group.json")) as f:
         index = json.load(f)["repos"]
-    stored = spark.createDataFrame([(r["repo"], r.get("sourceFingerprint")) for r in index], "repo string, sourceFingerprint string")
+    kind = "repo string, sourceFingerprint string, commit string, refName string, dirty boolean"
+    stored = spark.createDataFrame([tuple(r.get(k) for k in ("repo", "sourceFingerprint", "commit", "refName", "dirty")) for r in index], kind)
     found = upkeep.fingerprints(tree.read_tree(spark, repos, ignore))
     every = spark.createDataFrame([(k,) for k in repos], "repo string").join(found, "repo", "left")
-    return upkeep.statuses(stored, every)
+    return upkeep.statuses(stored, every).join(stored.drop("sourceFingerprint"), "repo", "left")
 
 
 def brief(graphs: dict[str, DataFrame], **options) -> DataFrame:

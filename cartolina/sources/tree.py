@@ -127,8 +127,11 @@ def submodules(repo: str) -> list[str]:
     return [parser[s]["path"] for s in parser.sections() if parser.has_option(s, "path")]
 
 
-def with_submodules(repos: dict[str, str]) -> tuple[dict[str, str], list[str], list[str]]:
-    """All repositories with their submodules as repositories of their own, folders to exclude from parents, and notes on empty ones."""
+def with_submodules(repos: dict[str, str], how: str = "split") -> tuple[dict[str, str], list[str], list[str]]:
+    """All repositories, folders to exclude from their parents, and notes on empty submodules.
+
+    how: submodules become repositories of their own (split), stay a part of their parents (absorb), or are left out (skip).
+    """
     out, exclude, notes, todo, known = {}, [], [], list(repos.items()), set()
     while todo:
         name, top = todo.pop(0)
@@ -139,7 +142,11 @@ def with_submodules(repos: dict[str, str]) -> tuple[dict[str, str], list[str], l
         for path in submodules(top):
             folder = os.path.join(top, path)
             if os.path.isdir(folder) and os.listdir(folder):
+                if how == "absorb":
+                    continue
                 exclude.append(folder)
+                if how == "skip":
+                    continue
                 base = os.path.basename(path)
                 todo.append((f"{name}/{base}" if base in out or base in dict(todo) else base, folder))
             else:
