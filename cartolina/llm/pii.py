@@ -213,7 +213,8 @@ def _dense(feats: np.ndarray) -> np.ndarray:
     """Each added kind has weights of its own for what tells its spans apart."""
     kind = np.eye(len(KINDS))[feats[:, 0]]
     own = feats[:, 1:] / np.array([3, 3, 3, 6, 1, 2, 1, 1])
-    return np.concatenate([kind, own, (kind[:, len(BASE) :, None] * own[:, None, 4:]).reshape(len(feats), -1), np.ones((len(feats), 1))], axis=1)
+    by_kind = (kind[:, len(BASE) :, None] * own[:, None, 4:]).reshape(len(feats), len(MORE) * own[:, 4:].shape[1])
+    return np.concatenate([kind, own, by_kind, np.ones((len(feats), 1))], axis=1)
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:

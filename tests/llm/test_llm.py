@@ -475,6 +475,36 @@ def test_license_scan(spark):
     assert span["first_word"] == 2 and span["cover"] == 1.0
 
 
+def test_license_base_columns_against_brute_force(spark):
+    r = random.Random(31)
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    bits = ["mit", "MIT", "license", "License,", "apache", "general", "public", "\u00e9t\u00e9", "mit-license", "x1", "_", "general\npublic license"]
+    rows = [(i, " ".join(r.choice(bits) for _ in range(r.randint(0, 40)))) for i in range(300)]
+    for x in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        w = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(rows[x["doc_id"]][1]))
+        at = sorted((i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        places = [i for i, _ in at]
+        want = (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({label for _, label in at})))
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"], x["base_labels"]) == want
+        assert {label for _, label in at} <= set(x["labels"].split(",")) and 0 <= x["score"] <= 1
+
+
+def test_notices_with_changed_words_against_every_alignment(spark):
+    """A notice with some words replaced has the label if, and where, enough of its words still stand in line."""
+    r = random.Random(32)
+    notice = license_scan.TEMPLATES["mit-text"].split()
+    rows = []
+    for i in range(60):
+        w = [x if r.random() > i / 60 else f"z{r.randrange(99)}" for x in notice]
+        before = r.randint(0, 30)
+        rows.append((i, " ".join([f"y{r.randrange(99)}" for _ in range(before)] + w)))
+    spans = {x["doc_id"]: x["first_word"] for x in license_scan.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("label = 'mit-text'").collect()}
+    share = lambda t: max(sum(a == b for a, b in zip(t[k:], notice)) for k in range(len(t))) / len(notice)
+    for i, text in rows:
+        kept = share(text.split())
+        assert i in spans if kept > 0.95 else i not in spans if kept < 0.3 else True, (i, kept)
+
+
 def test_notices_in_a_row(spark):
     texts = ["All rights reserved. " * 5, "// SPDX-License-Identifier: MIT\n" * 4, "Licensed under the " * 300, "All rights reserved", "a b c d e f x y " * 6 + "a b c d e f g h i j"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
