@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolina.llm.common import shuffle_parts, staged, two_columns
+from cartolina.llm.words import tidied
 
 #: Bytes of a bucket; doubled where the directory would need more than 2 ** MOST_BITS buckets (from 1 TB of entries on).
 CAPACITY = 4 << 20
@@ -119,7 +120,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives no rows.
     """
     spark = docs.sparkSession
-    index = staged(two_columns(docs, id_col, text_col).mapInArrow(_entries, _ENTRIES), "exact-index")
+    index = staged(two_columns(docs, id_col, text_col).mapInArrow(tidied(_entries), _ENTRIES), "exact-index")
     rows, total = index.agg(F.count("*"), F.sum(F.when(F.col("n") > 0, F.length("body") + 64))).first()
     while (total or 0) / capacity > 1 << MOST_BITS:
         capacity *= 2
@@ -134,7 +135,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranges = spark.createDataFrame([(i, b * owners // buckets) for i, b in enumerate(cells)], "cell int, owner int")  # at most 2 ** max_depth rows
     owned = held.withColumn("cell", F.shiftright(cell, shift).cast("int")).join(F.broadcast(ranges), "cell")
     entries = owned.repartitionById(owners, F.col("owner")).select("key", "sha", "body", "n", "max_id").sortWithinPartitions("key")
-    groups = staged(entries.mapInArrow(_chains, _GROUPS), "exact-groups", narrow=True)
+    groups = staged(entries.mapInArrow(tidied(_chains), _GROUPS), "exact-groups", narrow=True)
     hot = groups.where(F.col("group_size") > HOT * rows)
     told = index.select("doc_id", "sha").join(F.broadcast(hot), "sha", "left")
     rest = told.where("group_size is null").select("doc_id", "sha").join(groups.where(F.col("group_size") <= HOT * rows), "sha")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cartolina.llm.common import shuffle_parts, small_batches, staged, two_columns
 from cartolina.llm.components import components
-from cartolina.llm.words import forget
+from cartolina.llm.words import forget, tidied
 
 CELLS = 1 << 24
 SKETCH_SHARDS = 64
@@ -169,7 +169,7 @@ def _classes(both: DataFrame) -> np.ndarray:
     """By cell of a token's hash, the class of its count: CELLS bytes, whatever the input. Counts up to SELDOM, or twice the mean, are alike."""
     total = both.agg(F.sum("n_shingles")).first()[0] or 0
     usual = max(float(SELDOM), 2 * total / CELLS)
-    shards = both.where("shard is not null").select("shard", "cells").repartitionById(SKETCH_SHARDS, F.col("shard")).mapInArrow(_added(usual), "shard int, cells binary").collect()
+    shards = both.where("shard is not null").select("shard", "cells").repartitionById(SKETCH_SHARDS, F.col("shard")).mapInArrow(tidied(_added(usual)), "shard int, cells binary").collect()
     cells = np.zeros((SKETCH_SHARDS, CELLS // SKETCH_SHARDS), np.uint8)
     for r in shards:
         cells[r["shard"]] = np.frombuffer(r["cells"], np.uint8)
@@ -530,7 +530,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and packed text of the wanted ids."""
     bits = np.zeros(FILTER // 8, np.uint8)
-    for r in wanted.select("doc_id").mapInArrow(_marked, "bits binary").toLocalIterator():  # one small blob a task at a time
+    for r in wanted.select("doc_id").mapInArrow(tidied(_marked), "bits binary").toLocalIterator():  # one small blob a task at a time
         bits |= np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
     held = texts.sparkSession.sparkContext.broadcast(bits)
 
@@ -541,7 +541,7 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             keep = on[_slots(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ~np.asarray(ids.is_null())
             yield from _squeezed(iter([b.filter(pa.array(keep))]))
 
-    return texts.mapInArrow(near, "doc_id long, z binary").join(wanted, "doc_id")
+    return texts.mapInArrow(tidied(near), "doc_id long, z binary").join(wanted, "doc_id")
 
 
 def _led(k: int, percent: int):
@@ -574,16 +574,16 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     texts = two_columns(docs, id_col, text_col)
-    both = staged(texts.mapInArrow(_sized(k, bits), _SIZED), "jaccard-sizes")
+    both = staged(texts.mapInArrow(tidied(_sized(k, bits)), _SIZED), "jaccard-sizes")
     sized = both.where("shard is null").select("doc_id", "n_shingles", "mark", "handle")
     first, others = _handled(sized)  # one document stands for each distinct set
     held = spark.sparkContext.broadcast(_classes(both))
     parts = shuffle_parts(spark)
-    packed = texts.mapInArrow(_postings(k, percent, parts, held, others, bits), _PACKED).repartitionById(parts, F.col("part"))
+    packed = texts.mapInArrow(tidied(_postings(k, percent, parts, held, others, bits)), _PACKED).repartitionById(parts, F.col("part"))
     for step in (_shared(parts), _grouped(parts)):
-        packed = packed.mapInArrow(step, _PACKED).repartitionById(parts, F.col("part"))
-    packed = packed.mapInArrow(_probes(percent, parts), _PACKED).repartitionById(parts, F.col("part"))
-    probes = packed.mapInArrow(_qualified(percent), "handle long, home long, group long")
+        packed = packed.mapInArrow(tidied(step), _PACKED).repartitionById(parts, F.col("part"))
+    packed = packed.mapInArrow(tidied(_probes(percent, parts)), _PACKED).repartitionById(parts, F.col("part"))
+    probes = packed.mapInArrow(tidied(_qualified(percent)), "handle long, home long, group long")
     probed = staged(probes.join(first, "handle").select(F.col("rep").alias("doc_id"), "group", "home"), "jaccard-probes")
     with small_batches(spark):
         tops = components(_links_of(texts, probed, k, percent, group, asked)).withColumnRenamed("id", "rep")
@@ -612,13 +612,13 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     large = homes.where(F.col("m") > group)
     leading = large.where("doc_id = leader").join(packed, "doc_id").groupBy("group").agg(F.min("z").alias("leading"))
     beside = large.join(packed, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "z", "leading")
-    led = staged(beside.mapInArrow(_led(k, percent), "doc_id long, group long, leader long, core boolean"), "jaccard-led", narrow=True)
+    led = staged(beside.mapInArrow(tidied(_led(k, percent)), "doc_id long, group long, leader long, core boolean"), "jaccard-led", narrow=True)
     core = led.select("doc_id", "group", "core")
     parts = F.ceil(F.col("m") / group).cast("long")
     own = homes.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).join(core, ["doc_id", "group"], "left")
     mine = own.join(packed, "doc_id").select("group", "part", "doc_id", "core", "asked", "z")
     united = mine.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part")
-    united = staged(united.mapInArrow(_united(k, percent), "a long, b long, group long, part long, least long, most long, tokens binary"), "jaccard-unions")
+    united = staged(united.mapInArrow(tidied(_united(k, percent)), "a long, b long, group long, part long, least long, most long, tokens binary"), "jaccard-unions")
     loose = staged(core.where("not core").select("doc_id", "group").unionByName(asks), "jaccard-asking")
     salts = lambda n: F.ceil(n / crowded).cast("long")
     dealt = lambda salt: (F.shiftleft("part", 32) + salt).alias("part")
@@ -632,12 +632,12 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     stored = stored.select("*", every_salt).select("group", dealt(F.col("salt")), "least", "most", "tokens")
     asking = stored.unionByName(coming, allowMissingColumns=True).select("group", "part", "doc_id", "least", "most", "tokens", "z")
     asking = asking.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", F.asc_nulls_first("doc_id"))
-    good = asking.mapInArrow(_bounded(k, percent), "doc_id long, group long, part long").withColumn("part", F.shiftright("part", 32))
+    good = asking.mapInArrow(tidied(_bounded(k, percent)), "doc_id long, group long, part long").withColumn("part", F.shiftright("part", 32))
     good = staged(good, "jaccard-qualified", narrow=True)
     crowd = good.groupBy("group", "part").agg(salts(F.count("*")).alias("salts"))
     opening = own.join(crowd, ["group", "part"]).select("*", every_salt).select("group", dealt(F.col("salt")), F.lit(False).alias("query"), "doc_id", "core")
     coming = good.join(crowd, ["group", "part"]).select("group", dealt(own_salt), F.lit(True).alias("query"), "doc_id", F.lit(None).cast("boolean").alias("core"))
     rows = opening.unionByName(coming).join(packed, "doc_id").select("group", "part", "query", "doc_id", "core", "z")
-    opened = rows.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", "query").mapInArrow(_opened(k, percent), "a long, b long")
+    opened = rows.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", "query").mapInArrow(tidied(_opened(k, percent)), "a long, b long")
     known = led.where("core and doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     return united.where("a is not null").select("a", "b").unionByName(opened).unionByName(known)

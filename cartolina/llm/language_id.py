@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolina.llm.words import TokenTable, chunks, kept, sums
+from cartolina.llm.words import TokenTable, chunks, kept, sums, tidied
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -247,7 +247,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
                     names=["doc_id", "lang_pred", "score", "rejected", "entropy"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, _OUT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(score), _OUT)
 
 
 def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
@@ -270,4 +270,4 @@ def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
                     mask += [False] * len(texts)
             yield b.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)

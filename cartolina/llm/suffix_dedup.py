@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolina.llm.common import shuffle_parts, staged
-from cartolina.llm.words import forget
+from cartolina.llm.words import forget, tidied
 
 WINDOW, STRIDE, GRAM = 100, 60, 16
 KEEP = WINDOW - STRIDE + 1
@@ -461,12 +461,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = shuffle_parts(spark)
     texts = _keyed(docs, id_col, text_col)
     splitters = _splitters(texts, buckets or parts)
-    squeezed = texts.mapInArrow(_compressed, "doc_id long, doc long, tag long, z binary")
+    squeezed = texts.mapInArrow(tidied(_compressed), "doc_id long, doc long, tag long, z binary")
     packed = "part int, known boolean, packed binary"
-    twice = texts.select("doc", "tag", "raw").mapInArrow(_posted(parts, piece), packed).repartitionById(parts, F.col("part")).mapInArrow(_twice(parts), packed)
-    runs = twice.repartitionById(parts, F.col("part")).mapInArrow(_gathered, "doc long, tag long, packed binary")
-    strings = squeezed.join(runs, ["doc", "tag"]).select("doc", "tag", "z", "packed").mapInArrow(_suffixes(splitters), "bucket int, meta binary, strings binary")
-    found = staged(strings.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(_sorted_buckets(splitters, parts), "part int, doc long, tag long, packed binary"), "suffix-spans")
-    across = found.where("part >= 0").select("part", "packed").repartitionById(parts, F.col("part")).mapInArrow(_across, "doc long, tag long, packed binary")
+    twice = texts.select("doc", "tag", "raw").mapInArrow(tidied(_posted(parts, piece)), packed).repartitionById(parts, F.col("part")).mapInArrow(tidied(_twice(parts)), packed)
+    runs = twice.repartitionById(parts, F.col("part")).mapInArrow(tidied(_gathered), "doc long, tag long, packed binary")
+    strings = squeezed.join(runs, ["doc", "tag"]).select("doc", "tag", "z", "packed").mapInArrow(tidied(_suffixes(splitters)), "bucket int, meta binary, strings binary")
+    found = staged(strings.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(tidied(_sorted_buckets(splitters, parts)), "part int, doc long, tag long, packed binary"), "suffix-spans")
+    across = found.where("part >= 0").select("part", "packed").repartitionById(parts, F.col("part")).mapInArrow(tidied(_across), "doc long, tag long, packed binary")
     gone = found.where("part < 0").select("doc", "tag", "packed").unionByName(across).groupBy("doc", "tag").agg(F.collect_list("packed").alias("packed"))
-    return squeezed.join(gone, ["doc", "tag"], "left").select("doc_id", "z", "packed").mapInArrow(_cut, _OUT)
+    return squeezed.join(gone, ["doc", "tag"], "left").select("doc_id", "z", "packed").mapInArrow(tidied(_cut), _OUT)
