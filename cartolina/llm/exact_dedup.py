@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolina.llm.common import shuffle_parts, staged, two_columns
-from cartolina.llm.words import tidied
+from cartolina.llm.words import forget, tidied
 
 #: Bytes of a bucket; doubled where the directory would need more than 2 ** MOST_BITS buckets (from 1 TB of entries on).
 CAPACITY = 4 << 20
@@ -56,6 +56,7 @@ def _index_batch(ids: list, bodies: list) -> pa.RecordBatch:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         yield _index_batch(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())
 
