@@ -65,9 +65,12 @@ def bounded_int(value: Column, fallback: int, most: int) -> Column:
 _BLANK = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+_BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"\A[{_BLANK}]+|[{_BLANK}]+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def valid_ref(ref: Column) -> Column:
