@@ -30,13 +30,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+#: Rows for which a task of its own is worth while, where about how many rows a table has is known before it is written.
+ROWS = 1 << 13
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """The frame in at most one task for each ROWS of its rows; tasks that hold next to nothing are joined, without a shuffle."""
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
+def staged(df: DataFrame, name: str, narrow: bool = False, rows: int | None = None) -> DataFrame:
     """The frame written to shared storage and read again: its lineage ends there and outlives executors.
 
     narrow: its rows are a few dozen bytes, so that a shuffle to files of a sensible size costs little beside one small file a task.
+    rows: about how many it has, or a bound, so that a small table isn't dealt over as many files as the session has shuffle partitions;
+    it bears on the number of files alone.
     """
     path = scratch(df.sparkSession, name)
-    if narrow:
+    if rows is not None and (not narrow or -(-rows // ROWS) < shuffle_parts(df.sparkSession)):
+        df = df.repartition(max(1, -(-rows // ROWS))) if narrow else few(df, rows)
+    elif narrow:
         df = df.hint("rebalance")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -136,7 +136,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranges = spark.createDataFrame([(i, b * owners // buckets) for i, b in enumerate(cells)], "cell int, owner int")  # at most 2 ** max_depth rows
     owned = held.withColumn("cell", F.shiftright(cell, shift).cast("int")).join(F.broadcast(ranges), "cell")
     entries = owned.repartitionById(owners, F.col("owner")).select("key", "sha", "body", "n", "max_id").sortWithinPartitions("key")
-    groups = staged(entries.mapInArrow(tidied(_chains), _GROUPS), "exact-groups", narrow=True)
+    groups = staged(entries.mapInArrow(tidied(_chains), _GROUPS), "exact-groups", narrow=True, rows=rows)
     hot = groups.where(F.col("group_size") > HOT * rows)
     told = index.select("doc_id", "sha").join(F.broadcast(hot), "sha", "left")
     rest = told.where("group_size is null").select("doc_id", "sha").join(groups.where(F.col("group_size") <= HOT * rows), "sha")

@@ -192,13 +192,13 @@ def handle_of(mark: bytes, others: dict[bytes, int], bits: int = 64) -> int:
     return int.from_bytes(mark[:8], "little", signed=True) >> (64 - bits) if own is None else own
 
 
-def _handled(sized: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
+def _handled(sized: DataFrame, rows: int) -> tuple[DataFrame, dict[bytes, int]]:
     """mark, handle and rep of each distinct set, no two with one handle; and the handles of sets whose first bits others have too.
 
     Of n sets about n ** 2 / 2 ** 64 pairs share a handle, a few in 10 ** 10 sets; these come to the driver.
     """
     others: dict[bytes, int] = {}
-    reps = staged(sized.where("mark is not null and doc_id is not null").groupBy("mark", "handle").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    reps = staged(sized.where("mark is not null and doc_id is not null").groupBy("mark", "handle").agg(F.min("doc_id").alias("rep")), "jaccard-reps", rows=rows)
     clash = reps.join(reps.groupBy("handle").count().where("count > 1").select("handle"), "handle", "left_semi")
     for r in clash.select("mark").toLocalIterator():
         mark = bytes(r["mark"])
@@ -576,7 +576,8 @@ def jaccard_components(
     texts = two_columns(docs, id_col, text_col)
     both = staged(texts.mapInArrow(tidied(_sized(k, bits)), _SIZED), "jaccard-sizes")
     sized = both.where("shard is null").select("doc_id", "n_shingles", "mark", "handle")
-    first, others = _handled(sized)  # one document stands for each distinct set
+    rows = both.count()  # those of documents and a few more
+    first, others = _handled(sized, rows)  # one document stands for each distinct set
     held = spark.sparkContext.broadcast(_classes(both))
     parts = shuffle_parts(spark)
     packed = texts.mapInArrow(tidied(_postings(k, percent, parts, held, others, bits)), _PACKED).repartitionById(parts, F.col("part"))
@@ -584,9 +585,9 @@ def jaccard_components(
         packed = packed.mapInArrow(tidied(step), _PACKED).repartitionById(parts, F.col("part"))
     packed = packed.mapInArrow(tidied(_probes(percent, parts)), _PACKED).repartitionById(parts, F.col("part"))
     probes = packed.mapInArrow(tidied(_qualified(percent)), "handle long, home long, group long")
-    probed = staged(probes.join(first, "handle").select(F.col("rep").alias("doc_id"), "group", "home"), "jaccard-probes")
+    probed = staged(probes.join(first, "handle").select(F.col("rep").alias("doc_id"), "group", "home"), "jaccard-probes", rows=rows)
     with small_batches(spark):
-        tops = components(_links_of(texts, probed, k, percent, group, asked)).withColumnRenamed("id", "rep")
+        tops = components(_links_of(texts, probed, k, percent, group, asked), rows).withColumnRenamed("id", "rep")
     told = first.join(tops, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
     return sized.join(told, "mark", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -600,26 +601,27 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     Where more than `crowded` ask, several tasks hold the same union, or the same members, each for some of them.
     """
     parts_of = shuffle_parts(texts.sparkSession)
+    n = asked.count()
     members = asked.select("doc_id", F.col("home").alias("group")).distinct()
     asks = asked.where("group < home").select("doc_id", "group").distinct()  # between two groups one direction is enough
     from_elsewhere = asks.select("group").distinct().withColumn("asked", F.lit(True))
     busy = members.groupBy("group").agg(F.count("*").alias("m"), F.min("doc_id").alias("leader"))
     homes = members.join(busy, "group").join(from_elsewhere, "group", "left")
     # A group without other members or queries has nothing to open.
-    homes = staged(homes.where("m > 1 or asked").withColumn("asked", F.coalesce("asked", F.col("m") > group)), "jaccard-members")
+    homes = staged(homes.where("m > 1 or asked").withColumn("asked", F.coalesce("asked", F.col("m") > group)), "jaccard-members", rows=n)
     wanted = homes.select("doc_id").union(asks.select("doc_id")).distinct()
-    packed = staged(_texts_of(texts, staged(wanted, "jaccard-wanted")), "jaccard-texts")
+    packed = staged(_texts_of(texts, staged(wanted, "jaccard-wanted", rows=n)), "jaccard-texts")
     large = homes.where(F.col("m") > group)
     leading = large.where("doc_id = leader").join(packed, "doc_id").groupBy("group").agg(F.min("z").alias("leading"))
     beside = large.join(packed, "doc_id").join(leading, "group").select("doc_id", "group", "leader", "z", "leading")
-    led = staged(beside.mapInArrow(tidied(_led(k, percent)), "doc_id long, group long, leader long, core boolean"), "jaccard-led", narrow=True)
+    led = staged(beside.mapInArrow(tidied(_led(k, percent)), "doc_id long, group long, leader long, core boolean"), "jaccard-led", narrow=True, rows=n)
     core = led.select("doc_id", "group", "core")
     parts = F.ceil(F.col("m") / group).cast("long")
     own = homes.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).join(core, ["doc_id", "group"], "left")
     mine = own.join(packed, "doc_id").select("group", "part", "doc_id", "core", "asked", "z")
     united = mine.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part")
-    united = staged(united.mapInArrow(tidied(_united(k, percent)), "a long, b long, group long, part long, least long, most long, tokens binary"), "jaccard-unions")
-    loose = staged(core.where("not core").select("doc_id", "group").unionByName(asks), "jaccard-asking")
+    united = staged(united.mapInArrow(tidied(_united(k, percent)), "a long, b long, group long, part long, least long, most long, tokens binary"), "jaccard-unions", rows=n)
+    loose = staged(core.where("not core").select("doc_id", "group").unionByName(asks), "jaccard-asking", rows=n)
     salts = lambda n: F.ceil(n / crowded).cast("long")
     dealt = lambda salt: (F.shiftleft("part", 32) + salt).alias("part")
     own_salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("salts"))
@@ -633,7 +635,7 @@ def _links_of(texts: DataFrame, asked: DataFrame, k: int, percent: int, group: i
     asking = stored.unionByName(coming, allowMissingColumns=True).select("group", "part", "doc_id", "least", "most", "tokens", "z")
     asking = asking.repartition(parts_of, "group", "part").sortWithinPartitions("group", "part", F.asc_nulls_first("doc_id"))
     good = asking.mapInArrow(tidied(_bounded(k, percent)), "doc_id long, group long, part long").withColumn("part", F.shiftright("part", 32))
-    good = staged(good, "jaccard-qualified", narrow=True)
+    good = staged(good, "jaccard-qualified", narrow=True, rows=n)
     crowd = good.groupBy("group", "part").agg(salts(F.count("*")).alias("salts"))
     opening = own.join(crowd, ["group", "part"]).select("*", every_salt).select("group", dealt(F.col("salt")), F.lit(False).alias("query"), "doc_id", "core")
     coming = good.join(crowd, ["group", "part"]).select("group", dealt(own_salt), F.lit(True).alias("query"), "doc_id", F.lit(None).cast("boolean").alias("core"))
