@@ -50,7 +50,7 @@ def _best(docs: DataFrame, keyed: DataFrame, row: str, twin: str, told: DataFram
     """Of each group in told (_row, group) the row whose best, a struct that ends in _row, is chosen."""
     rows = keyed.select(F.col(row).alias("_row"), "doc_id").distinct().join(told.distinct(), "_row")
     kept = rows.groupBy("group").agg(best.alias("best")).select(F.col("best._row").alias(row)).distinct()
-    return _one_each(keyed.join(kept, row, "left_semi"), row, twin).select(*docs.columns)
+    return common.few(_one_each(keyed.join(kept, row, "left_semi"), row, twin).select(*docs.columns), docs.count())
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.when(F.col(cut) > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(cut), F.lit(1))), "")).otherwise(F.col("text"))
     both = both.withColumn("text", text)
     n_chars = F.when(F.col(cut) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return both.withColumn("n_chars", n_chars).select(*docs.columns)
+    return common.few(both.withColumn("n_chars", n_chars).select(*docs.columns), docs.count())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
