@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartolina.llm.words import chunks, kept
+from cartolina.llm.words import chunks, kept, trim
 
 _FOREVER = 1 << 60
 
@@ -275,5 +275,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     pa.array([t for _, t in got], pa.string()),
                 ]
                 yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
+            trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(coded, _OUT)
