@@ -158,3 +158,36 @@ def test_forces_by_cells_are_near_those_by_pairs(monkeypatch):
     monkeypatch.setattr(layout, "PAIRS", 10_000)
     exact = layout._repelled(at, -3.0)
     assert np.linalg.norm(by_cells - exact) < 0.1 * np.linalg.norm(exact) and np.allclose(apart, layout._parted(at, radius))
+
+
+def test_kept_pairs_hold_while_nodes_move():
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    at, radius, near, kept = r.normal(0, 300, (900, 2)), r.uniform(5, 25, 900), layout.Near(), 0
+    for step in (40, 3, 1, 1, 1, 0.2, 30, 1, 0.5):
+        at = at + r.uniform(-step, step, at.shape) / 2
+        was = near.kept
+        order, parts = near.parts(at, 60.0)
+        found = [tuple(sorted(p)) for i, j in parts for p in zip(order[i].tolist(), order[j].tolist())]
+        want = np.argwhere(np.triu(((at[:, None] - at[None]) ** 2).sum(axis=2) < 3600, 1))
+        assert len(found) == len(set(found)) and {tuple(p) for p in want.tolist()} <= set(found)
+        kept += was is not None and near.kept is was
+        assert np.allclose(layout._parted(at, radius, near), layout._parted(at, radius))
+    assert kept > 2
+
+
+def test_a_tick_of_a_large_group_costs_less_than_all_pairs():
+    import time
+
+    import numpy as np
+
+    n, r = 3840, np.random.default_rng(0)
+    links, none = np.stack([r.integers(0, n - 240, 6000), r.integers(n - 240, n, 6000)], axis=1), np.full(n, np.nan)
+    began = time.process_time()
+    at = layout.simulate(np.full(n, 12.0), none, none, links, ticks=60)
+    took, began = time.process_time() - began, time.process_time()
+    for b in range(0, n, 256):
+        gap = at[None] - at[b : b + 256, None]
+        (gap / np.maximum((gap**2).sum(axis=2), 1.0)[:, :, None]).sum(axis=1)
+    assert took / 60 < (time.process_time() - began) / 12
