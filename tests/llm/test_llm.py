@@ -604,6 +604,31 @@ def test_toxicity(spark):
     assert sum(apart) / len(apart) > 0.9 and len(got) == 402 and got[900] == got[901] < 0.5
 
 
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """Few documents start the weights; words of either class and of a language that stand in few others must count all the same."""
+    r = random.Random(9)
+    monkeypatch.setattr(toxicity, "ROWS", 256)
+    rows = [(i, spoken(["aa", "bb"][i % 2], r.randint(5, 40), r) + (f" zzbad{r.choice('aeiou')}" if i % 3 == 0 else ""), ["aa", "bb"][i % 2]) for i in range(1500)]
+    rare = [(2000 + i, f"rareword rare{i}", "cc") for i in range(40)]
+    labels = [(i, int(i % 3 == 0)) for i, _, _ in rows] + [(i, 0) for i, _, _ in rare]
+    docs = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string")
+    models = [toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), start=20) for _ in range(2)]
+    h = {x["doc_id"]: x["h"] for x in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    want = np.ones((toxicity.BUCKETS, 3))
+    for i, text, lang in rows + rare:
+        if h[i] % toxicity.APART:
+            np.add.at(want[:, ["aa", "bb", "cc"].index(lang)], toxicity.parts_of(toxicity.words_of(text)).ravel(), 1)
+    assert models[0].languages == ["aa", "bb", "cc"] and np.allclose(models[0].spoken, np.log(want / want.sum(axis=0)), atol=1e-5)
+    assert all(np.array_equal(a, b) for a, b in zip(models[0]._weights(), models[1]._weights())) and np.array_equal(models[0].thresholds, models[1].thresholds)
+    got = {x["doc_id"]: x["score"] for x in toxicity.classify(docs, models[0]).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in labels if not h[i] % toxicity.APART]) > 0.95
+
+
+def test_cut_over_counts():
+    answers, counts = np.array([0.0, 1.0, 1.0, 2.0, 5.0]), np.array([[3, 0], [1, 0], [1, 1], [4, 0], [0, 6]])
+    assert toxicity._cut(answers, counts) == 3.5 and toxicity._cut(answers, counts * [1, 0]) == 0
+
+
 # Pipeline
 
 
